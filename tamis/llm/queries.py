@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tamis.llm import decontaminate, quality_rules, token_store, url_rules
+from tamis.llm import decontaminate, html_extract, mixing, quality_rules, token_store, url_rules
 from tamis.llm.common import scratch, table
 
 #: The url rules of the query (fixed values): host, path, verdict.
@@ -25,6 +26,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_pages(pages).select("page_id", "url", "text").withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -35,6 +41,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.assign(table(spark, sf_dir, "documents"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     token_store.write_store(table(spark, sf_dir, "documents"), path, tokenizer_file(), END_ID)
@@ -45,7 +55,29 @@ _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+def _mixing_sql(fraction: float = 0.5, rounds: int = mixing.ROUNDS) -> str:
+    steps, last = [], "c0"
+    for k in range(rounds):
+        for key in ("source", "lang", "topic"):
+            steps.append(f"r{k}_{key} AS (SELECT * REPLACE (CASE WHEN now > 0 THEN w * ({key}_share * total) / now ELSE 0 END AS w) FROM (SELECT * EXCLUDE (now), sum(w) OVER (PARTITION BY {key}) AS now FROM {last}))")
+            last = f"r{k}_{key}"
+    shares = ", ".join(f"s_{k} AS (SELECT {k}, w / sum(w) OVER () AS {k}_share FROM (SELECT {k}, sqrt(sum(tokens)) AS w FROM c GROUP BY {k}))" for k in ("source", "lang", "topic"))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+e AS (SELECT *, CASE WHEN 5 * (length(text) - length(replace(text, '|', ''))) > n_tokens THEN 'table' WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 1000 THEN 'article' ELSE 'long' END AS topic FROM d),
+c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM e GROUP BY ALL),
+{shares},
+c0 AS (SELECT *, tokens AS w, sum(tokens) OVER () AS total, CAST(0 AS DOUBLE) AS now FROM c JOIN s_source USING (source) JOIN s_lang USING (lang) JOIN s_topic USING (topic)),
+{", ".join(steps)},
+x AS (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS ratio FROM {last}),
+y AS (SELECT *, (total * {fraction} - coalesce(sum(tokens) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM x),
+z AS (SELECT max_by(f, ratio) AS f FROM y WHERE w > 0 AND f * ratio <= 1 AND f >= 0),
+p AS (SELECT source, lang, topic, round(CASE WHEN tokens = 0 THEN 1 WHEN z.f IS NULL THEN CASE WHEN w > 0 THEN 1 ELSE 0 END ELSE least(1.0, z.f * ratio) END, {mixing.DECIMALS}) AS p FROM x, z)
+SELECT doc_id, source, lang, topic, n_tokens, p, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 < p AS sampled FROM e JOIN p USING (source, lang, topic)"""
+
+
 ORACLES = {
+    "op9_mixing": _mixing_sql(),
     "op1_decontaminate": f"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
@@ -71,8 +103,10 @@ SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_html_extract": op2_html_extract,
     "op4_quality_rules": op4_quality_rules,
     "op8_url_filter": op8_url_filter,
+    "op9_mixing": op9_mixing,
     "op10_token_store": op10_token_store,
 }
 
