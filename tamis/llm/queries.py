@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import decontaminate, html_extract, mixing, quality_rules, token_store, url_rules
+from tamis.llm import decontaminate, html_extract, license_scan, mixing, quality_rules, token_store, url_rules
 from tamis.llm.common import scratch, table
 
 #: The url rules of the query (fixed values): host, path, verdict.
@@ -36,6 +36,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -76,7 +80,26 @@ p AS (SELECT source, lang, topic, round(CASE WHEN tokens = 0 THEN 1 WHEN z.f IS
 SELECT doc_id, source, lang, topic, n_tokens, p, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 < p AS sampled FROM e JOIN p USING (source, lang, topic)"""
 
 
+def _license_sql() -> str:
+    known, ordered = license_scan.sentences(), license_scan.rules()
+    values = ", ".join(f"('{text}', '{name}')" for text, name in known.items())
+    run = "'|' || array_to_string(ids, '||') || '|'"
+    for pattern, licence in ordered:
+        run = f"replace({run}, '|{'||'.join(pattern)}|', '|={licence}|')"
+    category = " ".join(f"WHEN len(list_filter(licenses, lambda x: regexp_matches(x, '{p}'))) > 0 THEN '{name}'" for name, p in license_scan.CATEGORIES)
+    return rf"""
+WITH k(t, name) AS (VALUES {values}),
+d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_replace(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{license_scan.CUT}', chr(10), 'g'), '{license_scan.OTHER}', ' ', 'g') AS t FROM documents),
+s AS (SELECT rn, trim(x, ' ') AS x, i FROM (SELECT rn, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)),
+f AS (SELECT rn, list(k.name ORDER BY i) AS ids FROM s JOIN k ON s.x = k.t GROUP BY rn),
+m AS (SELECT rn, ids, list_sort(list_distinct(list_transform(list_filter(string_split({run}, '|'), lambda x: starts_with(x, '=')), lambda x: substr(x, 2)))) AS licenses FROM f)
+SELECT d.doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(array_to_string(licenses, ','), '') AS licenses,
+       CASE WHEN coalesce(len(licenses), 0) = 0 THEN 'none' {category} ELSE 'permissive' END AS category
+FROM d LEFT JOIN m USING (rn)"""
+
+
 ORACLES = {
+    "op5_license_scan": _license_sql(),
     "op9_mixing": _mixing_sql(),
     "op1_decontaminate": f"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {_WORDS} AS w FROM documents),
@@ -105,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_html_extract": op2_html_extract,
     "op4_quality_rules": op4_quality_rules,
+    "op5_license_scan": op5_license_scan,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
     "op10_token_store": op10_token_store,
