@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import bagminhash, decontaminate, html_extract, license_scan, mixing, quality_rules, token_store, url_rules
+from tamis.llm import bagminhash, decontaminate, html_extract, license_scan, mixing, quality_rules, suffix_dedup, token_store, url_rules
 from tamis.llm.common import scratch, table
 
 #: The url rules of the query (fixed values): host, path, verdict.
@@ -31,6 +31,10 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(pages).select("page_id", "url", "text").withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.find_repeats(table(spark, sf_dir, "documents")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -131,6 +135,7 @@ SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_html_extract": op2_html_extract,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_license_scan": op5_license_scan,
     "op7_near_duplicates": op7_near_duplicates,
