@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import bagminhash, decontaminate, html_extract, license_scan, mixing, quality_rules, suffix_dedup, token_store, url_rules
+from tamis.llm import bagminhash, decontaminate, html_extract, license_scan, mixing, quality_rules, suffix_dedup, token_store, toxicity, url_rules
 from tamis.llm.common import scratch, table
 
 #: The url rules of the query (fixed values): host, path, verdict.
@@ -44,6 +44,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "toxic_words")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
@@ -138,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_license_scan": op5_license_scan,
+    "op6_toxicity": op6_toxicity,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
