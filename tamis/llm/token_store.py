@@ -12,7 +12,9 @@ Every document ends with `end_id`. An empty table gives an empty store. Columns
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from tamis.llm.common import shuffle_partitions
 #: A block closes with the document that reaches either number.
 BLOCK_IDS, BLOCK_DOCS = 1 << 20, 1 << 13
 #: Chunks of text whose ids a worker keeps.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 600_000
 SELECT_EVERY = 64
 
 
@@ -83,10 +85,18 @@ class EliasFano:
         return upper | (bits.astype(np.int64) << np.arange(self.l)).sum(axis=1)
 
 
+# The pre-tokenizer pattern for which a word and the marks behind it are pieces of their own.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters that lower-case alike everywhere, then ASCII marks without the apostrophe.
+_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+
+
 class ChunkEncoder:
     """Ids of whole texts, by a cache of the ids of their chunks between blanks and line feeds.
 
-    Only for tokenizers that never join text across white space; `encode` gives what the tokenizer gives for the text."""
+    Only for tokenizers that never join text across white space; `encode` gives what the tokenizer gives for the text.
+    Where the tokenizer lower-cases, splits words from marks and ends each piece with a token of its own kind, new
+    chunks are taken apart into pieces, and many new pieces are encoded as one text."""
 
     def __init__(self, file: str, end_id: int, cache_chunks: int = CACHE_CHUNKS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -94,17 +104,56 @@ class ChunkEncoder:
 
         self.tokenizer, self.end, self.most = Tokenizer.from_file(file), np.array([end_id], "<u4").tobytes(), cache_chunks
         self.cache: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {"": b""}
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_piece = bool(suffix) and _PIECES in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\") and '"Lowercase"' in json.dumps(spec["normalizer"])
+        if self.by_piece:
+            vocab = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+
+    def _encode_all(self, parts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _add_pieces(self, new: list[str], together: int = 64) -> None:
+        groups = [new[at : at + together] for at in range(0, len(new), together)]
+        for group, found in zip(groups, self._encode_all([" ".join(g) for g in groups]), strict=True):
+            ids = np.frombuffer(found, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) == len(group) and ends[-1] == len(found):
+                self.pieces.update(zip(group, (found[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+            else:
+                self.pieces.update(zip(group, self._encode_all(group), strict=True))
+
+    def _add_chunks(self, new: list[str]) -> None:
+        whole = new
+        if self.by_piece:
+            whole, apart, words, marks = [], [], [], []
+            match = _WORD_AND_MARKS.match
+            for c in new:
+                if m := match(c):
+                    word, mark = m.groups()
+                    apart.append(c)
+                    words.append(word.lower())
+                    marks.append(mark)
+                else:
+                    whole.append(c)
+            if len(self.pieces) > self.most:
+                self.pieces = {"": b""}
+            self._add_pieces(list({*words, *marks}.difference(self.pieces)))
+            get = self.pieces.__getitem__
+            self.cache.update(zip(apart, map(bytes.__add__, map(get, words), map(get, marks)), strict=True))
+        self.cache.update(zip(whole, self._encode_all(whole), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
         if len(self.cache) > self.most:
             self.cache = {"": b""}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.cache)) if split else []
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[chunk] = np.array(found.ids, "<u4").tobytes()
+        new = list(set().union(*split).difference(self.cache))
+        for at in range(0, len(new), 50_000):
+            self._add_chunks(new[at : at + 50_000])
         get = self.cache.__getitem__
         return [b"".join(map(get, words)) + self.end for words in split]
 
