@@ -120,16 +120,23 @@ def _probe(docs: DataFrame, index: Index, id_col: str, text_col: str, hits_only:
     return plain.mapInPandas(run, _SCHEMA.format(id=plain.schema["id"].dataType.simpleString()))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, n_words, spans, items) of every row of `docs`; spans are merged word ranges [s, e)."""
+def block_indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, size: int, block_bytes: int) -> list[Index]:
+    """One index per block of the benchmark."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter(F.col("item").isNotNull() & F.col("text").isNotNull())
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    parts = []
+    out = []
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()  # a block of bounded size
         windows = windows_of([(r.item, r.text) for r in rows], size)
-        counts = vocabulary_counts(docs, {w for x in windows for w in x}, text_col) if windows else {}
-        parts.append(_probe(docs, build_index(windows, counts), id_col, text_col, hits_only=blocks > 1))
+        out.append(build_index(windows, vocabulary_counts(docs, {w for x in windows for w in x}, text_col) if windows else {}))
+    return out
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, n_words, spans, items) of every row of `docs`; spans are merged word ranges [s, e)."""
+    indexes = block_indexes(docs, benchmark, text_col, item_col, item_text_col, size, block_bytes)
+    blocks = len(indexes)
+    parts = [_probe(docs, index, id_col, text_col, hits_only=blocks > 1) for index in indexes]
     if blocks == 1:
         return parts[0].drop("digest").withColumnRenamed("id", id_col)
     hits = parts[0]
@@ -172,9 +179,24 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that are not contaminated, with its columns. The verdict depends on the text alone, so the
-    contaminated texts, by digest, are taken out by an anti-join."""
-    bad = find_contamination(docs.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_digest"), F.col(text_col).alias("_text")), benchmark, "_digest", "_text", **options)
-    bad = bad.filter(contaminated()).select("_digest").distinct()
-    return docs.withColumn("_digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(bad, "_digest", "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs` that are not contaminated, with its columns: judged where they are read if the benchmark is
+    one block, else the contaminated texts, by digest, are taken out by an anti-join."""
+    indexes = block_indexes(docs, benchmark, text_col, item_col, item_text_col, size, block_bytes)
+    if len(indexes) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(indexes[0])
+
+        def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in texts:
+                yield batch.map(lambda t: not _is_contaminated(words_of(t), shared.value)).astype(bool)
+
+        return docs.filter(F.pandas_udf(clean, "boolean").asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))
+    digests = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    texts = docs.select(digests.alias("_digest"), F.col(text_col).alias("_text"))
+    bad = find_contamination(texts, benchmark, "_digest", "_text", item_col, item_text_col, size, block_bytes).filter(contaminated()).select("_digest").distinct()
+    return docs.withColumn("_digest", digests).join(bad, "_digest", "left_anti").select(*docs.columns)
+
+
+def _is_contaminated(words: list[bytes], index: Index) -> bool:
+    hit = sum(e - s for s, e in find_spans(words, index)[0])
+    return hit > 0 and 20 * hit >= len(words)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tamis.llm import bagminhash, decontaminate, html_extract, license_scan, mixing, quality_rules, suffix_dedup, token_store, toxicity, url_rules
 from tamis.llm.common import scratch, table
 
@@ -16,12 +17,6 @@ URL_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net"
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
-def tokenizer_file(name: str = TOKENIZER) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -64,7 +59,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
-    token_store.write_store(table(spark, sf_dir, "documents"), path, tokenizer_file(), END_ID)
+    token_store.write_store(table(spark, sf_dir, "documents"), path, token_store.public_file(TOKENIZER), END_ID)
     return token_store.digest(token_store.read_store(spark, path))
 
 
@@ -148,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
     "op10_token_store": op10_token_store,
+    "pipeline": corpus_pipeline.run,
 }
 
 
@@ -156,6 +152,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 

@@ -31,6 +31,13 @@ CACHE_CHUNKS = 600_000
 SELECT_EVERY = 64
 
 
+def public_file(name: str) -> str:
+    """The place of a file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 class EliasFano:
     """A non-decreasing sequence of n integers up to u in n * (2 + log2(u / n)) bits and select samples."""
 
