@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Line ends and white space as Python knows them, token and signal patterns, noise lists.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|\d+|[^\s\w]"
 NOISE_PARTS = (
     "/docs/", "/doc/", "/documentation/", "/tests/", "/test/", "/spec/", "/specs/", "/examples/", "/example/", "/migrations/", "conftest.py", "setup.py", "setup.cfg", "pyproject.toml", "poetry.lock",
