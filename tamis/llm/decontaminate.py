@@ -15,7 +15,6 @@ an index of that bounded size is broadcast, and the spans of further blocks are
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -97,27 +96,24 @@ def vocabulary_counts(docs: DataFrame, vocabulary: set[bytes], text_col: str) ->
     return {bytes(r.word): r.n for r in rows}
 
 
-_SCHEMA = "id {id}, digest binary, n_words long, spans array<struct<s:long,e:long>>, items array<string>"
-
-
 def _probe(docs: DataFrame, index: Index, id_col: str, text_col: str, hits_only: bool) -> DataFrame:
+    """(id, digest, n_words, spans, items); with `hits_only` the rows with hits."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in batches:
             out = []
-            for id_, text in zip(batch["id"], batch["text"], strict=True):
+            for text in batch:
                 words = words_of(text)
                 spans, items = find_spans(words, known)
-                if spans or not hits_only:
-                    out.append((id_, hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).digest() if hits_only else b"", len(words), [{"s": s, "e": e} for s, e in spans], sorted(items)))
-            frame = pd.DataFrame(out, columns=["id", "digest", "n_words", "spans", "items"])
-            frame["id"] = frame["id"].astype(batch["id"].dtype if batch["id"].dtype != float else "Int64")
-            yield frame
-
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return plain.mapInPandas(run, _SCHEMA.format(id=plain.schema["id"].dataType.simpleString()))
+                out.append((len(words), [{"s": s, "e": e} for s, e in spans], sorted(items)))
+            yield pd.DataFrame(out, columns=["n_words", "spans", "items"])
+
+    found = F.pandas_udf(run, "n_words long, spans array<struct<s:long,e:long>>, items array<string>").asNondeterministic()
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)) if hits_only else F.lit(None).cast("binary")
+    rows = docs.select(F.col(id_col).alias("id"), digest.alias("digest"), found(F.col(text_col)).alias("f")).select("id", "digest", "f.*")
+    return rows.filter(F.size("spans") > 0) if hits_only else rows
 
 
 def block_indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, size: int, block_bytes: int) -> list[Index]:

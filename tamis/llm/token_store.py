@@ -190,15 +190,18 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, splits: list[int
     """(part, id, ids): part by the place of the id among `splits`."""
     cuts = np.array(splits, dtype=np.int64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(tokenizer_file, end_id)
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            part = np.where(batch["id"].isna(), 0, np.searchsorted(cuts, batch["id"].fillna(0).to_numpy(np.int64), side="left")).astype(np.int32)
-            for s in _text_slices(texts):
-                yield pd.DataFrame({"part": part[s], "id": batch["id"].iloc[s].astype("Int64").to_numpy(), "ids": [pack(x) for x in encoder.encode(texts[s])]})
+        for ids, column in batches:
+            texts = [t or "" for t in column]
+            part = np.searchsorted(cuts, ids.to_numpy(np.int64), side="left").astype(np.int32)
+            packed = [pack(x) for s in _text_slices(texts) for x in encoder.encode(texts[s])] if texts else []
+            yield pd.DataFrame({"part": part, "ids": packed})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "part int, id long, ids binary")
+    encoded = F.pandas_udf(run, "part int, ids binary").asNondeterministic()
+    id_ = F.col(id_col).cast("long")
+    lowest = F.coalesce(id_, F.lit(-(1 << 63)))  # nulls stand first
+    return docs.select(id_.alias("id"), encoded(lowest, F.col(text_col)).alias("e")).select("e.part", "id", "e.ids")
 
 
 def pack(ids: bytes) -> bytes:
@@ -226,12 +229,12 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame([row])
 
     for batch in batches:
-        for p, i, x in zip(batch["part"], batch["id"], batch["ids"], strict=True):
+        for p, i, none, x in zip(batch["part"], batch["id"], batch["none"], batch["ids"], strict=True):
             if ids and (p != part or size >= BLOCK_IDS or len(ids) >= BLOCK_DOCS):
                 yield close()
             if p != part:
                 part, seq, base = p, 0, 0
-            ids.append(None if pd.isna(i) else int(i))
+            ids.append(None if none else int(i))
             packed.append(x)
             size += (len(x) - 1) // x[0]
     if ids:
@@ -249,6 +252,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id
     cuts = sorted(set(cuts)) if parts > 1 else []
     tokens = tokenize(docs, tokenizer_file, end_id, cuts, id_col, text_col)
     placed = tokens.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_first(), "ids")
+    placed = placed.select("part", F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("none"), "ids")  # without nulls pandas keeps integers
     placed.mapInPandas(_blocks, _BLOCK_SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
     sums = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n_ids"), F.sum("n_docs").alias("n_docs"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
