@@ -1,7 +1,8 @@
 """Token ids in binary blocks with Elias-Fano document boundaries.
 
 A store is a folder with two Parquet tables. `blocks` holds one row per block of consecutive documents: the ids as
-little-endian words of 2 or 4 bytes (`width`), and the documents' end offsets as an Elias-Fano sequence: `low` has the
+little-endian words of 2 or 4 bytes (`width`), the documents' ids (the first
+`n_null` are null) and their end offsets as an Elias-Fano sequence: `low` has the
 l low bits of each offset, `high` the unary-coded upper halves, `sel` the position of every 64th set bit of `high`,
 from which a select walks less than one word of documents. `manifest` holds one row per part with the number of ids
 that stand before it. Offsets in a block are relative to it, so that no table of 64-bit offsets is kept.
@@ -224,7 +225,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ends = EliasFano.encode(np.cumsum([len(a) for a in arrays]))
         every = np.concatenate(arrays)
         width = 2 if every.max() < 1 << 16 else 4
-        row = {"part": part, "seq": seq, "base": base, "n_docs": len(ids), "n_ids": len(every), "width": width, "doc_ids": ids, "low_bits": ends.l, "low": ends.low, "high": ends.high, "sel": ends.sel, "ids": every.astype(f"<u{width}").tobytes()}
+        row = {"part": part, "seq": seq, "base": base, "n_docs": len(ids), "n_ids": len(every), "width": width, "n_null": ids.count(None), "doc_ids": np.array([i or 0 for i in ids], dtype="<i8").tobytes(), "low_bits": ends.l, "low": ends.low, "high": ends.high, "sel": ends.sel, "ids": every.astype(f"<u{width}").tobytes()}
         seq, base, ids, packed, size = seq + 1, base + len(every), [], [], 0
         return pd.DataFrame([row])
 
@@ -241,7 +242,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield close()
 
 
-_BLOCK_SCHEMA = "part int, seq int, base long, n_docs int, n_ids long, width int, doc_ids array<long>, low_bits int, low binary, high binary, sel binary, ids binary"
+_BLOCK_SCHEMA = "part int, seq int, base long, n_docs int, n_ids long, width int, n_null int, doc_ids binary, low_bits int, low binary, high binary, sel binary, ids binary"
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
@@ -266,7 +267,7 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids = np.frombuffer(b.ids, f"<u{b.width}").astype("<u4")
             starts = np.concatenate([[0], ends[:-1]])
             yield pd.DataFrame({
-                "id": pd.array(b.doc_ids, dtype="Int64"), "start": b.start + b.base + starts, "n_tokens": ends - starts,
+                "id": pd.arrays.IntegerArray(np.frombuffer(b.doc_ids, "<i8").astype(np.int64), np.arange(b.n_docs) < b.n_null), "start": b.start + b.base + starts, "n_tokens": ends - starts,
                 "ids": [ids[s:e].tobytes() for s, e in zip(starts, ends, strict=True)],
             })
 
