@@ -41,6 +41,7 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _SCOPE = frozenset("ul ol dl table select article section div body main".split())
 _IN_P = _BLOCK - {"br", "td", "th", "tr", "caption", "option", "optgroup", "legend", "summary", "body", "html", "head", "title"}
 _WORD = re.compile(r"[a-z0-9]+")
+_CUT_TAG = re.compile(r"</?[a-zA-Z][^>]*\Z")
 
 
 @dataclass
@@ -148,6 +149,8 @@ class LineParser(HTMLParser):
             self._buffer.append(data)
 
     def close(self) -> None:
+        if _CUT_TAG.match(self.rawdata):  # the page ends inside a tag
+            self.rawdata = ""
         super().close()
         self._cut()
 
