@@ -12,7 +12,8 @@ least 95 % pure, and not explained by a longer beginning) form the lexicon. A lo
 strongest entry found and the number of distinct toxic words gives the score.
 
 Bounds. Character counts and lexicon counts cover all rows, summed per task first; the character table has 28 ** 4
-entries, the lexicon the `max_lexicon` strongest entries (default 20,000), and the logistic model sees at most `max_rows`
+entries, the lexicon the `max_lexicon` strongest entries (default 20,000) of at
+most 500,000 candidates, and the logistic model sees at most `max_rows`
 training rows (default 50,000, those with the least hash of their id). Labels, language, source and id never enter a
 score. A null or empty text has no words and gets the score of such. Repeated rows stay repeated. An id with two
 labels counts as the greater. Without both labels in the training rows every score is their share of label 1 (0.5
@@ -37,6 +38,8 @@ from tamis.llm.decontaminate import words_of
 
 SIZE = 28  # 0: any break, 1 to 26: letters, 27: other characters of words
 PREFIXES = range(4, 9)
+#: Ids of up to this number are sent to every executor instead of shuffling texts.
+BROADCAST_ROWS = 1_000_000
 #: Beyond 2 ln of the number of entries tested.
 MARGIN = 6.0
 
@@ -156,47 +159,70 @@ def entries_of(words: set[bytes]) -> set[str]:
     return out
 
 
-def distinct_rows(rows: DataFrame) -> DataFrame:
-    """One of the rows (id, text, label) that share their least hash of three words in a row: copies, exact or near,
-    would count as many witnesses for each of their words."""
+def _bound(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Small rows that go to every executor while their number allows it, so that texts need not move."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def witnesses(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """The ids and labels of `known` (id, label) without copies: of the documents that share their least hash of three
+    words in a row, one. Copies, exact or near, would count as many witnesses for each of their words."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            hashes, at = shingle_hashes([normalise(t) for t in batch["text"]], 3)
+            hashes, at = shingle_hashes([normalise(t) for t in batch], 3)
             sketch = np.zeros(len(batch), dtype=np.int64)
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
             sketch[at[first]] = np.minimum.reduceat(hashes, first).view(np.int64) if len(first) else 0
-            yield pd.DataFrame({"id": batch["id"], "sketch": sketch})
+            yield pd.Series(sketch)
 
-    kept = rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, sketch long").groupBy("sketch").agg(F.min("id").alias("id")).select("id").distinct()
-    return rows.join(kept, "id", "left_semi")
+    sketch = F.pandas_udf(run, "long").asNondeterministic()
+    sketched = texts.join(_bound(known), "id").select("id", sketch("text").alias("sketch"))
+    kept = sketched.groupBy("sketch").agg(F.min("id").alias("id")).select("id").distinct()
+    return materialize(known.join(kept, "id", "left_semi"), "witnesses")
 
 
-def lexicon_counts(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """(entry, n, toxic): documents with the entry, and those of label 1, from rows (text, label)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def entry_counts(texts: DataFrame, model: np.ndarray, only: frozenset[str] | None = None) -> DataFrame:
+    """(entry, n): documents that hold the entry, summed per task first; `only` restricts the entries."""
+    shared = texts.sparkSession.sparkContext.broadcast((model, only))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer = Restorer(shared.value)
-        n, toxic = Counter(), Counter()
+        model, only = shared.value
+        restorer, n = Restorer(model), Counter()
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame({"entry": pd.Series(list(n), dtype=object), "n": list(n.values()), "toxic": [toxic[e] for e in n]})
-            n.clear(), toxic.clear()
+            out = pd.DataFrame({"entry": pd.Series(list(n), dtype=object), "n": list(n.values())})
+            n.clear()
             return out
 
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"], strict=True):
+            for text in batch["text"]:
                 found = entries_of(restored_words(restorer.restore(text)))
-                n.update(found)
-                if label:
-                    toxic.update(found)
+                n.update(found if only is None else found & only)
                 if len(n) > 1_000_000:
                     yield flush()
         yield flush()
 
-    partial = rows.select("text", "label").mapInPandas(run, "entry string, n long, toxic long")
-    return partial.groupBy("entry").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    return texts.select("text").mapInPandas(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+
+
+def lexicon_counts(texts: DataFrame, known: DataFrame, model: np.ndarray, toxic: int, total: int, max_candidates: int = 500_000) -> tuple[list[tuple[str, int, int]], int]:
+    """(entry, documents, those of label 1) of the entries that may mark label 1, and how many were tested.
+
+    Entries are counted over label 1 first; only those frequent enough to pass the test if they were pure are then
+    counted over label 0."""
+    of = lambda label: texts.join(_bound(known.filter(F.col("label") == label).select("id")), "id", "left_semi")
+    positive = materialize(entry_counts(of(1), model), "lexicon")
+    tested = max(2, positive.count())
+    least = max(3, math.ceil(_threshold(tested) / (2 * math.log(total / toxic))))
+    top = positive.filter(F.col("n") >= least).orderBy(F.col("n").desc(), "entry").limit(max_candidates).collect()
+    found = {r.entry: r.n for r in top}
+    negative = {r.entry: r.n for r in entry_counts(of(0), model, frozenset(found)).collect()}  # candidates at most
+    return [(e, n + negative.get(e, 0), n) for e, n in found.items()], tested
+
+
+def _threshold(tested: int) -> float:
+    return 2 * math.log(tested) + MARGIN
 
 
 def _log_likelihood(a: np.ndarray, n: np.ndarray, toxic: float, total: float) -> np.ndarray:
@@ -212,14 +238,13 @@ def _log_likelihood(a: np.ndarray, n: np.ndarray, toxic: float, total: float) ->
     return 2 * (inside + outside - alone)
 
 
-def build_lexicon(counts: DataFrame, toxic: int, total: int, max_lexicon: int = 20_000, purity: float = 0.95) -> dict[str, float]:
+def build_lexicon(counts: list[tuple[str, int, int]], tested: int, toxic: int, total: int, max_lexicon: int = 20_000, purity: float = 0.95) -> dict[str, float]:
     """entry -> log odds."""
-    tested = counts.filter("n >= 2").count()
-    strong = counts.filter((F.col("toxic") >= 3) & (F.col("toxic") >= purity * F.col("n"))).orderBy(F.col("toxic").desc(), "n", "entry").limit(max_lexicon).toPandas()
-    if strong.empty or not 0 < toxic < total:
+    strong = pd.DataFrame([r for r in counts if r[2] >= purity * r[1]], columns=["entry", "n", "toxic"])
+    if strong.empty:
         return {}
     a, n = strong["toxic"].to_numpy(float), strong["n"].to_numpy(float)
-    strong = strong[_log_likelihood(a, n, toxic, total) > 2 * math.log(max(2, tested)) + MARGIN]
+    strong = strong[_log_likelihood(a, n, toxic, total) > _threshold(tested)].sort_values(["toxic", "entry"], ascending=[False, True]).head(max_lexicon)
     have = {r.entry: (r.toxic, r.n) for r in strong.itertuples()}
     explained = set()
     for entry, (t, m) in have.items():
@@ -278,15 +303,14 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(id, held_out, score, predicted) of every row of `docs`; held-out rows and their labels are not learned from."""
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     model = character_model(character_counts(plain, "text"))
-    known = labels.filter(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
-    train = plain.join(known, F.col("id") == F.col("_id")).select("id", "text", "label")
-    witnesses = distinct_rows(train)
-    counts = materialize(lexicon_counts(witnesses, model), "lexicon")
-    total, toxic = witnesses.select("id", "label").agg(F.count(F.lit(1)), F.sum("label")).first()
-    lexicon = build_lexicon(counts, toxic or 0, total, max_lexicon)
+    known = labels.filter(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    known = materialize(known.join(plain.select("id").distinct(), "id", "left_semi"), "known")
+    seen = witnesses(plain, known)
+    total, toxic = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    lexicon = build_lexicon(*lexicon_counts(plain, seen, model, toxic, total), toxic, total, max_lexicon) if 0 < toxic < total else {}
     found = materialize(with_features(plain, model, lexicon).select("id", "_features.*"), "features")
     if total and 0 < toxic < total:
-        sample = found.join(known, F.col("id") == F.col("_id")).orderBy(F.xxhash64("id"), "id").limit(max_rows).toPandas()
+        sample = found.join(known, "id").orderBy(F.xxhash64("id"), "id").limit(max_rows).toPandas()
         w = fit_logistic(np.column_stack([sample["odds"], np.log1p(sample["toxic_words"])]), sample["label"].to_numpy(float))
     else:
         share = min(max(toxic / total, 1e-6), 1 - 1e-6) if total else 0.5
