@@ -108,18 +108,18 @@ def cell_probabilities(celled: DataFrame, targets: dict[str, dict[str, float]] |
 
 
 def with_probability(celled: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """`celled` and p, sampled."""
-    p = materialize(cell_probabilities(celled, **options).select("_source", "_lang", "_topic", "p"), "probabilities")
+    """`celled` and _p, _sampled."""
+    p = materialize(cell_probabilities(celled, **options).select("_source", "_lang", "_topic", F.col("p").alias("_p")), "probabilities")
     p = F.broadcast(p) if p.count() <= SMALL_CELLS else p
-    return celled.join(p, ["_source", "_lang", "_topic"]).withColumn("sampled", uniform(F.col(id_col)) < F.col("p"))
+    return celled.join(p, ["_source", "_lang", "_topic"]).withColumn("_sampled", uniform(F.col(id_col)) < F.col("_p"))
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, **options) -> DataFrame:
     """(id, source, lang, topic, n_tokens, p, sampled) of every document."""
     celled = materialize(with_cells(docs, text_col, topic).select(id_col, "_source", "_lang", "_topic", "_tokens"), "mixing")
-    return with_probability(celled, id_col, **options).select(id_col, F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "p", "sampled")
+    return with_probability(celled, id_col, **options).select(id_col, F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_p").alias("p"), F.col("_sampled").alias("sampled"))
 
 
 def sample_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, **options) -> DataFrame:
     """The sampled rows of `docs`, with its columns."""
-    return with_probability(with_cells(docs, text_col, topic), id_col, **options).filter("sampled").select(*docs.columns)
+    return with_probability(with_cells(docs, text_col, topic), id_col, **options).filter("_sampled").select(*docs.columns)
