@@ -128,7 +128,7 @@ def _best_condition(data: dict[str, np.ndarray], bad: np.ndarray, inside: np.nda
     return found
 
 
-def learn_rules(data: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray, max_conditions: int = 4, max_rules: int = 20, min_precision: float = 0.95, min_cover: int = 4) -> list[Rule]:
+def learn_rules(data: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray, max_conditions: int = 4, max_rules: int = 20, min_precision: float = 0.95, min_pruned: float = 0.9, min_cover: int = 4) -> list[Rule]:
     """Sequential covering. `prune` marks the rows that only pruning and the stop test see."""
     n, rules, left = len(bad), [], np.ones(len(bad), dtype=bool)
     while len(rules) < max_rules and (left & bad & ~prune).any():
@@ -146,7 +146,7 @@ def learn_rules(data: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray,
         rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth)
         hit = _covers(rule, data, n) & left
         p, q = int((hit & bad).sum()), int((hit & ~bad).sum())
-        if p < min_cover or p / (p + q) < min_precision or worth(rule) < 2 * min_precision - 1:
+        if p < min_cover or p / (p + q) < min_precision or worth(rule) < 2 * min_pruned - 1:
             break
         rules.append(rule)
         left &= ~hit
