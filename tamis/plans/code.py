@@ -94,4 +94,10 @@ p AS (SELECT *, last_value(nullif(regexp_extract(line, '^diff --git a/.+ b/(.+)$
 h AS (SELECT *, contains(regexp_extract(line, {_HUNK}, 5), 'def ') AS has_def, regexp_extract(line, {_HUNK}, 1)::INT AS a, coalesce(nullif(regexp_extract(line, {_HUNK}, 2), ''), '1')::INT AS an,
   regexp_extract(line, {_HUNK}, 3)::INT AS b, coalesce(nullif(regexp_extract(line, {_HUNK}, 4), ''), '1')::INT AS bn FROM p WHERE path IS NOT NULL AND regexp_matches(line, {_HUNK}))
 SELECT id, path, a AS pre_start, a + greatest(1, an) - 1 AS pre_end, b AS post_start, b + greatest(1, bn) - 1 AS post_end, has_def FROM h QUALIFY row_number() OVER (PARTITION BY id, path ORDER BY has_def DESC, pos) = 1""",
+    "modified_lines": rf"""WITH d(id, diff) AS ({D.values(DIFFS)}), {_DIFF_LINES},
+p AS (SELECT *, last_value(nullif(regexp_extract(line, '^\+\+\+ [ab]/(.+)$', 1), '') IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos) AS path, regexp_matches(line, {_HUNK}) AS ish FROM l),
+h AS (SELECT *, sum(CASE WHEN ish THEN 1 ELSE 0 END) OVER (PARTITION BY id, path ORDER BY pos) AS hunk FROM p WHERE path IS NOT NULL),
+a AS (SELECT *, NOT ish AND NOT starts_with(line, '-') AND NOT starts_with(line, '\') AS aft FROM h WHERE hunk > 0),
+n AS (SELECT *, CAST(first_value(regexp_extract(line, {_HUNK}, 3)) OVER w AS INTEGER) + sum(CASE WHEN aft THEN 1 ELSE 0 END) OVER w - 1 AS num FROM a WINDOW w AS (PARTITION BY id, path, hunk ORDER BY pos))
+SELECT id, path, CAST(num AS INTEGER) AS "at" FROM n WHERE ends_with(path, '.py') AND NOT starts_with(path, 'tests/') AND aft AND starts_with(line, '+') AND NOT starts_with(line, '+++')""",
 }
