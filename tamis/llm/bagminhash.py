@@ -7,11 +7,13 @@ the shingle's weight are thinned out, and a slot keeps its earliest time. Two mu
 probability of their weighted Jaccard similarity, whatever their sizes, and a process stops as soon as its time
 passes the document's latest slot. Slots are cut into bands; texts that agree in a band are candidates.
 
-Texts of the same words are one node, so copies never multiply. In each bucket the member that agrees most with
-others is compared with the rest, links of similarity >= 0.8 are verified on the multisets themselves, and connected
-components are taken by alternating stars. Buckets that still hold several components get a second centre, then all
-pairs of members of different components whose sizes allow the similarity. What is lost is only what banding misses:
-at similarity 0.8 a pair shares a band with probability 0.9994.
+Texts of the same words are one node, so copies never multiply. Links of similarity >= 0.8 are verified on the
+multisets themselves, and connected components are taken by alternating stars. Only buckets that hold several
+components need work, and they get it in rounds: first the member that agrees most with others against the rest, in a
+few bands; then one such centre for each small component; at last every member of a small component against all of its
+bucket. That comparison forms no pairs: a run holds some members, the others stream past, sizes and signatures rule
+most of them out, the rest are verified there and then, and only links come out. What is lost is what banding misses (at similarity 0.8 a pair shares
+a band with probability 0.9994) and pairs whose signatures agree five deviations too little (one in three million).
 
 Result: one row per document with the least id of its class. A document without words, or of fewer than four shingles
 and no copy, is a class of its own (each such row; with a null id its class is null). Null ids join classes and sort
@@ -35,6 +37,14 @@ SHINGLE = 5
 BANDS, BAND_ROWS = 40, 8
 #: Members of one centre that one verification run is meant to hold.
 MEMBERS_PER_RUN = 500
+#: Bands of the first round.
+FIRST_BANDS = 5
+#: Least share of equal slots: five deviations below the similarity.
+LEAST_ESTIMATE = 0.8 - 5 * (0.8 * 0.2 / (BANDS * BAND_ROWS)) ** 0.5
+#: Members that one signature run holds, and those that stream past it.
+RUN_HELD, RUN_PASSING = 2_000, 50_000
+#: Sets of keys of up to this size are sent to every executor instead of shuffling texts.
+BROADCAST_KEYS = 1_000_000
 #: Text that is hashed at a time.
 BATCH_BYTES = 4_000_000
 
@@ -136,13 +146,18 @@ def signatures(hashes: np.ndarray, text_of: np.ndarray, n: int, slots: int) -> n
 
 def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One 64-bit hash per text and band."""
-    bits = signature.view(np.uint64).reshape(len(signature), bands, -1)
+    bits = signature.view(np.uint64).reshape(len(signature), bands, signature.shape[1] // bands)
     out = np.broadcast_to(_mix(np.arange(1, bands + 1, dtype=np.uint64) * _BASE), bits.shape[:2]).copy()
     for k in range(bits.shape[2]):
         out = _mix(out * _GOLDEN + bits[:, :, k])
     return out.view(np.int64)
 
 
+def slot_bytes(signature: np.ndarray) -> np.ndarray:
+    """One byte per slot; equal slots have equal bytes, others by chance one in 256."""
+    return (_mix(signature.view(np.uint64)) & _U(255)).astype(np.uint8)
+
+
 def _slices(sizes: list[int]) -> Iterator[slice]:
     start, total = 0, 0
     for i, n in enumerate(sizes):
@@ -154,10 +169,11 @@ def _slices(sizes: list[int]) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id, print, key, n, bands): key digests the words; n counts shingles; bands is null below four shingles."""
+def _sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """(key, n, bands, slots): key digests the words; n counts shingles; the rest is null below four."""
     for batch in batches:
-        texts = [normalise(t) for t in batch["text"]]
+        texts = [normalise(t) for t in batch]
+        out = [pd.DataFrame({c: [] for c in ("key", "n", "bands", "slots")}, dtype=object)]
         for s in _slices([len(t) for t in texts]):
             part = texts[s]
             hashes, text_of = shingle_hashes(part)
@@ -167,14 +183,17 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index[big] = np.arange(len(big))
             keep = n[text_of] >= 4
             bands: list = [None] * len(part)
-            for i, b in zip(big, band_hashes(signatures(hashes[keep], index[text_of[keep]], len(big), BANDS * BAND_ROWS)), strict=True):
-                bands[i] = b
-            yield pd.DataFrame({"id": batch["id"].iloc[s].to_numpy(), "print": batch["print"].iloc[s].to_numpy(), "key": [xxhash.xxh3_128_digest(t) if t else None for t in part], "n": n, "bands": bands})
+            slots: list = [None] * len(part)
+            signature = signatures(hashes[keep], index[text_of[keep]], len(big), BANDS * BAND_ROWS)
+            for i, b, x in zip(big, band_hashes(signature), slot_bytes(signature), strict=True):
+                bands[i], slots[i] = b, x.tobytes()
+            out.append(pd.DataFrame({"key": [xxhash.xxh3_128_digest(t) if t else None for t in part], "n": n.astype(object), "bands": bands, "slots": slots}))
+        yield pd.concat(out, ignore_index=True).astype({"n": "int64"})
 
 
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        words = [normalise(t) for t in batch["text"]]
+        words = [normalise(t) for t in batch]
         yield pd.DataFrame({"key": [xxhash.xxh3_128_digest(t) for t in words], "words": words})
 
 
@@ -238,50 +257,151 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     return edges.select(F.col("u").alias("key"), F.col("v").alias("comp")).unionByName(tops.select("key", F.col("key").alias("comp")))
 
 
-def _centre_pairs(buckets: DataFrame, order: list) -> DataFrame:
-    """(centre, member) for the first member of each bucket in `order` (a struct's maximum)."""
-    centres = buckets.groupBy("band", "hash").agg(F.max(F.struct(*order, F.col("key").alias("key"))).alias("c")).select("band", "hash", F.col("c.key").alias("centre"))
-    pairs = buckets.join(centres, ["band", "hash"]).filter(F.col("key") != F.col("centre"))
-    return pairs.select("centre", F.col("key").alias("member")).distinct()
-
-
 def _mixed(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     """The rows of the buckets that hold several components, with comp."""
-    rows = buckets.drop("comp").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    rows = buckets.select("band", "hash", "key").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     several = rows.groupBy("band", "hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("band", "hash")
-    return rows.join(several, ["band", "hash"])
+    return materialize(rows.join(several, ["band", "hash"]), "mixed")
+
+
+def _centres(rows: DataFrame, popular: DataFrame) -> DataFrame:
+    """(band, hash, centre, centre_comp, agrees): each bucket's member that agrees most with others."""
+    ranked = rows.join(popular, "key")
+    return ranked.groupBy("band", "hash").agg(F.max(F.struct("agrees", "key", "comp")).alias("c")).select("band", "hash", F.col("c.key").alias("centre"), F.col("c.comp").alias("centre_comp"), F.col("c.agrees").alias("agrees"))
+
+
+def bags(words: list[bytes]) -> list[set[int]]:
+    """The shingle multisets as sets: an element's k-th occurrence is an element of its own."""
+    hashes, text_of = shingle_hashes(words)
+    order = np.lexsort((hashes, text_of))
+    h, t = hashes[order], text_of[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])]) if len(h) else np.zeros(0, bool)
+    at = np.arange(len(h))
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    coded, cuts = (h + nth.astype(np.uint64) * _GOLDEN).tolist(), np.searchsorted(t, np.arange(len(words) + 1))
+    return [set(coded[s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+class _Run:
+    """The held members of a bucket's run, and which components it has found to be one."""
+
+    def __init__(self, held: pd.DataFrame):
+        self.keys, self.comps, self.n = (held[c].to_numpy() for c in ("key", "comp", "n"))
+        self.slots = np.frombuffer(b"".join(held["slots"]), np.uint8).reshape(len(held), -1)
+        self.bags = [b for s in _slices([len(w) for w in held["words"]]) for b in bags(held["words"].iloc[s].tolist())]
+        self.top: dict[bytes, bytes] = {}
+
+    def find(self, x: bytes) -> bytes:
+        while (up := self.top.get(x, x)) != x:
+            x = up
+        return x
+
+    def links(self, passing: pd.DataFrame, cells: int = 100_000) -> list[tuple[bytes, bytes]]:
+        """Verified links to passing members of other components; the likeliest first, none between what is one already."""
+        other = np.frombuffer(b"".join(passing["slots"]), np.uint8).reshape(len(passing), -1)
+        keys, comps, m, minor, words = (passing[c].to_numpy() for c in ("key", "comp", "n", "minor", "words"))
+        step, width, out = max(1, cells // len(self.keys)), self.slots.shape[1], []
+        for at in range(0, len(passing), step):
+            equal = np.count_nonzero(self.slots[:, None, :] == other[None, at : at + step, :], axis=2)
+            size = m[at : at + step]
+            i, j = np.nonzero((equal >= width * (LEAST_ESTIMATE * 255 / 256 + 1 / 256)) & (5 * self.n[:, None] >= 4 * size[None]) & (5 * size[None] >= 4 * self.n[:, None]))
+            share, j = equal[i, j], j + at
+            apart = (self.comps[i] != comps[j]) & (~minor[j].astype(bool) | (self.keys[i] < keys[j]))
+            i, j, share = i[apart], j[apart], share[apart]
+            known: dict[int, set[int]] = {}
+            for k in np.argsort(-share, kind="stable"):
+                a, b = int(i[k]), int(j[k])
+                x, y = self.find(self.comps[a]), self.find(comps[b])
+                if x == y:
+                    continue
+                if b not in known:
+                    known[b] = bags([words[b]])[0]
+                if similar(len(self.bags[a] & known[b]), int(self.n[a]), int(m[b])):
+                    out.append((self.keys[a], keys[b]))
+                    self.top[max(x, y)] = min(x, y)
+        return out
+
+
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (band, hash, run, side, key, comp, n, slots, minor, words), held ones (side 0) first; yields verified links."""
+    now: tuple | None = None
+    held: list = []
+    run: _Run | None = None
+    for batch in batches:
+        group = list(zip(batch["band"], batch["hash"], batch["run"], strict=True))
+        side, at, out = batch["side"].to_numpy(), 0, []
+        while at < len(group):
+            end = at
+            while end < len(group) and group[end] == group[at] and side[end] == side[at]:
+                end += 1
+            if group[at] != now:
+                now, held, run = group[at], [], None
+            if side[at] == 0:
+                held.append(batch.iloc[at:end])
+            elif held:
+                run = run or _Run(pd.concat(held))
+                out += run.links(batch.iloc[at:end])
+            at = end
+        yield pd.DataFrame(out, columns=["a", "b"], dtype=object)
+
+
+def compare_buckets(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links (a, b) between members of different components of a bucket. Members outside the bucket's largest
+    component are held in runs of bounded size; all members stream past each run."""
+    sizes = rows.groupBy("band", "hash", "comp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("band", "hash").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"))
+    sizes = sizes.select("band", "hash", F.col("top.comp").alias("major"), F.ceil((F.col("total") - F.col("top.n")) / RUN_HELD).cast("int").alias("blocks"), F.ceil(F.col("total") / RUN_PASSING).cast("int").alias("salts"))
+    full = nodes.select("key", "n", "slots").join(texts, "key")
+    rows = rows.join(sizes, ["band", "hash"]).join(full, "key").withColumn("minor", F.col("comp") != F.col("major"))
+    block, salt = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ("band", "hash", "run", "side", "key", "comp", "n", "slots", "minor", "words")
+    held = rows.filter("minor").withColumn("_k", each(F.col("salts"))).withColumns({"run": block * F.col("salts") + F.col("_k"), "side": F.lit(0)}).select(*columns)
+    passing = rows.withColumn("_k", each(F.col("blocks"))).withColumns({"run": F.col("_k") * F.col("salts") + salt, "side": F.lit(1)}).select(*columns)
+    runs = held.unionByName(passing).repartition("band", "hash", "run").sortWithinPartitions("band", "hash", "run", "side")
+    return runs.mapInPandas(_compare, "a binary, b binary")
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, print, key, n, bands) of every document, as a table; print is a fingerprint of the row's text."""
-    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
-    return materialize(plain.mapInPandas(_sign, f"id {plain.schema['id'].dataType.simpleString()}, print long, key binary, n long, bands array<long>"), "signed")
+    """(id, print, key, n, bands, slots) of every document, as a table; print is a fingerprint of the row's text."""
+    signed = F.pandas_udf(_sign, "key binary, n long, bands array<long>, slots binary").asNondeterministic()
+    return materialize(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), signed(F.col(text_col)).alias("s")).select("id", "print", "s.*"), "signed")
+
+
+def _node_texts(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, words) of the members (key, id): found by id, where their number is bounded without moving texts."""
+    n = members.count()
+    small = n <= BROADCAST_KEYS
+    bound = F.broadcast if small else (lambda x: x)
+    ids = bound(members.select(F.col("id").alias("_need")).distinct())
+    words = F.pandas_udf(_texts, "key binary, words binary").asNondeterministic()
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("_need")), "left_semi").select(words("text").alias("t")).select("t.*")
+    return materialize(found.join(bound(members.select("key")), "key", "left_semi").dropDuplicates(["key"]), "texts")
 
 
 def link_components(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, comp) of the word sequences that have a similar other one."""
-    nodes = signed.filter("bands is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    banded = nodes.select("key", "id", "n", F.posexplode("bands").alias("band", "hash"))
+    first = signed.filter("bands is not null").groupBy("key").agg(F.min("id").alias("id"))
+    banded = signed.filter("bands is not null").dropDuplicates(["key"]).select("key", F.posexplode("bands").alias("band", "hash"))
     shared = banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = materialize(banded.join(shared, ["band", "hash"]), "buckets")
-
-    needed = buckets.select("id").distinct().withColumnRenamed("id", "_need")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(needed, F.col("id").eqNullSafe(F.col("_need")), "left_semi").mapInPandas(_texts, "key binary, words binary")
-    texts = materialize(texts.join(buckets.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "texts")
-
-    popular = buckets.groupBy("key").agg(F.sum("size").alias("agrees"))
-    links = materialize(verified(_centre_pairs(buckets.join(popular, "key"), ["agrees"]), texts), "verified")
-    comps = components(links)
-    left = materialize(_mixed(buckets, comps), "mixed")
-    if left.isEmpty():
-        return comps
-    again = _centre_pairs(left.withColumn("turn", F.xxhash64("key")), ["turn"])
-    links = materialize(links.unionByName(verified(again, texts)), "verified")
-    left = materialize(_mixed(left, components(links)), "mixed").select("band", "hash", "key", "n", "comp")
-    other = left.select("band", "hash", *(F.col(c).alias(f"other_{c}") for c in ("key", "n", "comp")))
-    fits = (F.col("key") < F.col("other_key")) & (F.col("comp") != F.col("other_comp")) & (F.col("n") * 5 >= F.col("other_n") * 4) & (F.col("other_n") * 5 >= F.col("n") * 4)
-    pairs = left.join(other, ["band", "hash"]).filter(fits).select(F.col("key").alias("centre"), F.col("other_key").alias("member")).distinct()
-    return components(links.unionByName(verified(pairs, texts)))
+    popular = materialize(buckets.groupBy("key").agg(F.sum("size").alias("agrees")), "popular")
+    members = materialize(first.join(popular.select("key"), "key", "left_semi"), "members")
+    texts = _node_texts(docs, members, id_col, text_col)
+    nodes = signed.join(popular.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "slots")
+
+    few = buckets.filter(F.col("band") < FIRST_BANDS).select("band", "hash", "key", F.col("key").alias("comp"))
+    pairs = few.join(_centres(few, popular), ["band", "hash"]).filter("key != centre").select("centre", F.col("key").alias("member")).distinct()
+    links = materialize(verified(pairs, texts), "verified")
+    rows = _mixed(buckets, components(links))
+    if not rows.isEmpty():
+        asked = rows.join(_centres(rows, popular), ["band", "hash"]).filter("comp != centre_comp")
+        pairs = asked.groupBy("comp").agg(F.max(F.struct("agrees", "centre", "key")).alias("p")).select("p.centre", F.col("p.key").alias("member"))
+        links = materialize(links.unionByName(verified(pairs, texts)), "verified")
+        rows = _mixed(rows, components(links))
+    if not rows.isEmpty():
+        links = links.unionByName(compare_buckets(rows, nodes, texts))
+    return components(links)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
