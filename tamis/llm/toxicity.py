@@ -12,8 +12,7 @@ least 95 % pure, and not explained by a longer beginning) form the lexicon. A lo
 strongest entry found and the number of distinct toxic words gives the score.
 
 Bounds. Character counts and lexicon counts cover all rows, summed per task first; the character table has 28 ** 4
-entries, the lexicon the `max_lexicon` strongest entries (default 20,000) of at
-most 500,000 candidates, and the logistic model sees at most `max_rows`
+entries, the lexicon every entry that passes the tests, and the logistic model sees at most `max_rows`
 training rows (default 50,000, those with the least hash of their id). Labels, language, source and id never enter a
 score. A null or empty text has no words and gets the score of such. Repeated rows stay repeated. An id with two
 labels counts as the greater. Without both labels in the training rows every score is their share of label 1 (0.5
@@ -40,6 +39,8 @@ SIZE = 28  # 0: any break, 1 to 26: letters, 27: other characters of words
 PREFIXES = range(4, 9)
 #: Ids of up to this number are sent to every executor instead of shuffling texts.
 BROADCAST_ROWS = 1_000_000
+#: Candidates of up to this number are sent to every executor, so that other entries of label 0 are not shuffled.
+BROADCAST_ENTRIES = 500_000
 #: Beyond 2 ln of the number of entries tested.
 MARGIN = 6.0
 
@@ -206,19 +207,27 @@ def entry_counts(texts: DataFrame, model: np.ndarray, only: frozenset[str] | Non
     return texts.select("text").mapInPandas(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
-def lexicon_counts(texts: DataFrame, known: DataFrame, model: np.ndarray, toxic: int, total: int, max_candidates: int = 500_000) -> tuple[list[tuple[str, int, int]], int]:
-    """(entry, documents, those of label 1) of the entries that may mark label 1, and how many were tested.
+def lexicon_counts(texts: DataFrame, known: DataFrame, model: np.ndarray, toxic: int, total: int, purity: float = 0.95, most: int = BROADCAST_ENTRIES) -> list[tuple[str, int, int]]:
+    """(entry, documents, those of label 1) of the entries that mark label 1.
 
     Entries are counted over label 1 first; only those frequent enough to pass the test if they were pure are then
-    counted over label 0."""
+    counted over label 0, there and then while they are at most `most`, else by a shuffled join of all entries. The
+    tests run where the counts are, and what passes is collected whole."""
     of = lambda label: texts.join(_bound(known.filter(F.col("label") == label).select("id")), "id", "left_semi")
     positive = materialize(entry_counts(of(1), model), "lexicon")
     tested = max(2, positive.count())
     least = max(3, math.ceil(_threshold(tested) / (2 * math.log(total / toxic))))
-    top = positive.filter(F.col("n") >= least).orderBy(F.col("n").desc(), "entry").limit(max_candidates).collect()
-    found = {r.entry: r.n for r in top}
-    negative = {r.entry: r.n for r in entry_counts(of(0), model, frozenset(found)).collect()}  # candidates at most
-    return [(e, n + negative.get(e, 0), n) for e, n in found.items()], tested
+    candidates = positive.filter(F.col("n") >= least)
+    only = frozenset(r.entry for r in candidates.select("entry").collect()) if candidates.count() <= most else None
+    negative = entry_counts(of(0), model, only).withColumnRenamed("n", "clean")
+    counts = candidates.join(negative, "entry", "left").select("entry", (F.col("n") + F.coalesce("clean", F.lit(0))).alias("n"), F.col("n").alias("toxic"))
+
+    def passing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            rows = rows[rows["toxic"] >= purity * rows["n"]]
+            yield rows[_log_likelihood(rows["toxic"].to_numpy(float), rows["n"].to_numpy(float), toxic, total) > _threshold(tested)]
+
+    return [tuple(r) for r in counts.mapInPandas(passing, "entry string, n long, toxic long").collect()]  # what passes
 
 
 def _threshold(tested: int) -> float:
@@ -238,14 +247,9 @@ def _log_likelihood(a: np.ndarray, n: np.ndarray, toxic: float, total: float) ->
     return 2 * (inside + outside - alone)
 
 
-def build_lexicon(counts: list[tuple[str, int, int]], tested: int, toxic: int, total: int, max_lexicon: int = 20_000, purity: float = 0.95) -> dict[str, float]:
-    """entry -> log odds."""
-    strong = pd.DataFrame([r for r in counts if r[2] >= purity * r[1]], columns=["entry", "n", "toxic"])
-    if strong.empty:
-        return {}
-    a, n = strong["toxic"].to_numpy(float), strong["n"].to_numpy(float)
-    strong = strong[_log_likelihood(a, n, toxic, total) > _threshold(tested)].sort_values(["toxic", "entry"], ascending=[False, True]).head(max_lexicon)
-    have = {r.entry: (r.toxic, r.n) for r in strong.itertuples()}
+def build_lexicon(strong: list[tuple[str, int, int]]) -> dict[str, float]:
+    """entry -> log odds, of the entries that no longer one explains."""
+    have = {e: (t, m) for e, m, t in strong}
     explained = set()
     for entry, (t, m) in have.items():
         for k in range(4, len(entry)):
@@ -299,7 +303,7 @@ def held_out(id_: Column) -> Column:
     return F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_lexicon: int = 20_000, max_rows: int = 50_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 50_000) -> DataFrame:
     """(id, held_out, score, predicted) of every row of `docs`; held-out rows and their labels are not learned from."""
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     model = character_model(character_counts(plain, "text"))
@@ -307,7 +311,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = materialize(known.join(plain.select("id").distinct(), "id", "left_semi"), "known")
     seen = witnesses(plain, known)
     total, toxic = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    lexicon = build_lexicon(*lexicon_counts(plain, seen, model, toxic, total), toxic, total, max_lexicon) if 0 < toxic < total else {}
+    lexicon = build_lexicon(lexicon_counts(plain, seen, model, toxic, total)) if 0 < toxic < total else {}
     found = materialize(with_features(plain, model, lexicon).select("id", "_features.*"), "features")
     if total and 0 < toxic < total:
         sample = found.join(known, "id").orderBy(F.xxhash64("id"), "id").limit(max_rows).toPandas()

@@ -60,3 +60,16 @@ def test_restoration_leaves_plain_text(spark, corpus):
     restorer = T.Restorer(model)
     assert restorer.restore("Plain Words, stay as they are. 100 % of 2 items (a - b)") == "plain words, stay as they are. 100 % of 2 items (a - b)"
     assert restorer.restore("1d10t") == "idiot" and restorer.restore(None) == ""
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_lexicon_holds_every_entry_that_passes(spark, most):
+    """20,800 toxic words, all as strong as each other, beside words that both labels use."""
+    word = lambda k: "".join(chr((97, 110)[i % 2] + k // 13**i % 13) for i in range(4))
+    texts = [(j, " ".join(word(k) for k in range(20_800))) for j in range(20)] + [(100 + j, "zyzy zxzx") for j in range(200)] + [(j + 20, "zyzy zxzx") for j in range(20)]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    known = docs.select("id", (docs.id < 40).cast("int").alias("label"))
+    model = T.character_model(np.zeros(28**4))
+    strong = T.lexicon_counts(docs, known, model, 40, 240, most=most)
+    assert {e for e, _, _ in strong} == {word(k) + " " for k in range(20_800)} and all(n == t == 20 for _, n, t in strong)
+    assert len(T.build_lexicon(strong)) == 20_800
