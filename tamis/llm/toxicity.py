@@ -6,12 +6,12 @@ like, or for itself; a repeated letter may be dropped; a gap may be closed or ke
 under a character model of the corpus (interpolated 4-grams, counted over every document) and the channel's costs,
 and the path's letters replace the run.
 
-Score. Over the restored words of the training rows (one of each group of copies), documents are counted for every word and every word beginning
+Score. Over the restored words of the training rows (of verified near copies with one label, one), documents are counted for every word and every word beginning
 of 4 to 8 letters. Those that mark label 1 beyond chance (log-likelihood ratio above 2 ln of the number tested and a margin, at
 least 95 % pure, and not explained by a longer beginning) form the lexicon. A logistic model over the
 strongest entry found and the number of distinct toxic words gives the score.
 
-Bounds. Character counts and lexicon counts cover all rows, summed per task first; the character table has 28 ** 4
+Bounds. Character counts cover all rows and lexicon counts all training rows but such copies, summed per task first; the character table has 28 ** 4
 entries, the lexicon every entry that passes the tests, and the logistic model sees at most `max_rows`
 training rows (default 50,000, those with the least hash of their id). Labels, language, source and id never enter a
 score. A null or empty text has no words and gets the score of such. Repeated rows stay repeated. An id with two
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.bagminhash import normalise, shingle_hashes
+from tamis.llm.bagminhash import classes
 from tamis.llm.common import materialize
 from tamis.llm.decontaminate import words_of
 
@@ -166,20 +166,10 @@ def _bound(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def witnesses(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """The ids and labels of `known` (id, label) without copies: of the documents that share their least hash of three
-    words in a row, one. Copies, exact or near, would count as many witnesses for each of their words."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            hashes, at = shingle_hashes([normalise(t) for t in batch], 3)
-            sketch = np.zeros(len(batch), dtype=np.int64)
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
-            sketch[at[first]] = np.minimum.reduceat(hashes, first).view(np.int64) if len(first) else 0
-            yield pd.Series(sketch)
-
-    sketch = F.pandas_udf(run, "long").asNondeterministic()
-    sketched = texts.join(_bound(known), "id").select("id", sketch("text").alias("sketch"))
-    kept = sketched.groupBy("sketch").agg(F.min("id").alias("id")).select("id").distinct()
+    """The ids and labels of `known` (id, label) without copies: of the documents of one label in a class of verified
+    near copies, one. Copies, exact or near, would count as many witnesses for each of their words."""
+    found = classes(texts.join(_bound(known), "id", "left_semi"), "id", "text").select("id", "class_id")
+    kept = found.join(_bound(known), "id").groupBy("class_id", "label").agg(F.min("id").alias("id")).select("id").distinct()
     return materialize(known.join(kept, "id", "left_semi"), "witnesses")
 
 

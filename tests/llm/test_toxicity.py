@@ -73,3 +73,15 @@ def test_lexicon_holds_every_entry_that_passes(spark, most):
     strong = T.lexicon_counts(docs, known, model, 40, 240, most=most)
     assert {e for e, _, _ in strong} == {word(k) + " " for k in range(20_800)} and all(n == t == 20 for _, n, t in strong)
     assert len(T.build_lexicon(strong)) == 20_800
+
+
+def test_only_verified_copies_of_one_label_are_one_witness(spark):
+    """Documents that share a passage but little else, and copies under either label."""
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choice(["ta", "ro", "mi", "le"]) + rng.choice(["nu", "so", "ka", "pe"]) + str(rng.randrange(1000)) for _ in range(n))
+    passage, copied = words(40), words(120)
+    rows = [(k, f"{words(60)} {passage}", k % 2) for k in range(30)]
+    rows += [(100, copied, 1), (101, copied.upper(), 1), (102, copied + " end", 1), (103, copied, 0), (104, copied + " end", 0), (105, "a b", 1), (106, "a b", 1), (107, None, 0), (108, "c d", 0)]
+    known = spark.createDataFrame([(i, y) for i, _, y in rows], "id long, label int")
+    seen = T.witnesses(spark.createDataFrame([(i, t) for i, t, _ in rows], "id long, text string"), known).collect()
+    assert sorted(r.id for r in seen) == [*range(30), 100, 103, 105, 107, 108]
