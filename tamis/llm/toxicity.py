@@ -1,8 +1,8 @@
 """Toxicity of documents whose writers hide words: noisy-channel restoration, then a learned lexicon score.
 
-Channel. Runs of a text that look disguised (letters mixed with look-alike digits and signs, single letters spaced or
-dotted out, a letter three times or more in a row) become lattices: a sign may stand for the letters that it looks
-like, or for itself; a repeated letter may be dropped; a gap may be closed or kept. Viterbi takes the path that is best
+Channel. Runs of a text that may be disguised (letters beside look-alike digits and signs, at either end too; single
+letters spaced out by up to three marks or blanks; a letter twice or more in a row) become lattices: a sign may stand
+for the letters that it looks like, or for itself; a repeated letter may be dropped; a gap may be closed or kept. Viterbi takes the path that is best
 under a character model of the corpus (interpolated 4-grams, counted over every document) and the channel's costs,
 and the path's letters replace the run.
 
@@ -50,15 +50,17 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7":
 
 _SIGNS = "".join(LOOKALIKES)
 _SIGN_SET = re.escape(_SIGNS)
-#: Runs that look disguised.
-_DISGUISED = re.compile(
-    rf"(?<![^\s])[{_SIGN_SET}a-z]*(?:[a-z][{_SIGN_SET}]+|[{_SIGN_SET}](?=[a-z]{{2}}))[a-z][{_SIGN_SET}a-z]*"
-    rf"|(?<!\w)[a-z{_SIGN_SET}](?:[ .\-_*][a-z{_SIGN_SET}]){{3,}}(?!\w)"
-    r"|[a-z]*([a-z])\1\1[a-z]*"
-)
-_HINT = re.compile(rf"[a-z][{_SIGN_SET}][a-z{_SIGN_SET}]|(?<!\S)[{_SIGN_SET}][a-z]{{2}}|([a-z])\1\1|(?<!\w)[a-z{_SIGN_SET}][ .\-_*][a-z{_SIGN_SET}][ .\-_*][a-z{_SIGN_SET}][ .\-_*]")
-_GAPS = frozenset(" .-_*")
-_COST = {"sign": -1.0, "keep_sign": -4.0, "drop_repeat": -0.7, "close_gap": -0.7, "keep_gap": -2.0}
+_GAP = r"[ \t.\-_*/\\,:;~'\"=·]{1,3}"
+#: Letters spaced out, or else a run of letters and signs, whatever stands before and after it.
+_RUN = re.compile(rf"(?<!\w)[a-z{_SIGN_SET}](?:{_GAP}[a-z{_SIGN_SET}]){{3,}}(?!\w)|[a-z{_SIGN_SET}]{{3,}}")
+#: What the lattices of a run are built from, and which runs have more than one path.
+_UNIT = re.compile(rf"{_GAP}|.", re.S)
+_OPEN = re.compile(rf"(?=.*[a-z])(?:.*[{_SIGN_SET}]|.*([a-z])\1|.*{_GAP})", re.S)
+_TRIPLE = re.compile(r"([a-z])\1\1")
+_GAPS = frozenset(" \t.-_*/\\,:;~'\"=·")
+#: Signs that may stand before a word as marks, and those that may stand after it.
+_BEFORE, _AFTER = "!|+(", "!|+(@$€"
+_COST = {"sign": -1.0, "keep_sign": -4.0, "keep_end": -1.0, "drop_repeat": -0.7, "drop_double": -3.0, "close_gap": -0.7, "keep_gap": -2.0}
 
 _CODE = np.zeros(256, dtype=np.int64)
 _CODE[0x61:0x7B] = np.arange(1, 27)
@@ -102,48 +104,60 @@ def character_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Restorer:
-    """Viterbi over the lattices of disguised runs; restored runs are cached."""
+    """Viterbi over the lattices of runs that may be disguised; runs are cached."""
 
     def __init__(self, model: np.ndarray, cache: int = 200_000):
-        self.model, self.most, self.cache = model.tolist(), cache, {}
+        self.model, self.most, self.cache = model.tolist(), cache, {}  # run -> its replacement
 
     def decode(self, run: str) -> str:
-        if (found := self.cache.get(run)) is not None:
-            return found
         model, wrap = self.model, SIZE**3
         states: dict[int, tuple[float, str]] = {0: (0.0, "")}
-        previous = ""
-        for ch in run:
+        units = _UNIT.findall(run)
+        first, last = len(run) - len(run.lstrip(_BEFORE)), len(run.rstrip(_AFTER))
+        # letters doubled are ordinary in a word that nothing else disguises
+        repeat = _COST["drop_double"] if run.isalpha() and not _TRIPLE.search(run) else _COST["drop_repeat"]
+        previous, read = "", 0
+        for ch in units:
+            read += len(ch)
             options: list[tuple[str, float]] = []
-            if ch in _GAPS:
+            if ch[0] in _GAPS:
                 options = [("", _COST["close_gap"]), (ch, _COST["keep_gap"])]
             elif ch in LOOKALIKES:
-                options = [(x, _COST["sign"]) for x in LOOKALIKES[ch]] + [(ch, _COST["keep_sign"])]
+                options = [(x, _COST["sign"]) for x in LOOKALIKES[ch]] + [(ch, _COST["keep_end" if read > last else "keep_sign"])]
             else:
                 options = [(ch, 0.0)]
-            if ch == previous and ch not in _GAPS:
-                options.append(("", _COST["drop_repeat"]))
+            if ch == previous and ch[0] not in _GAPS:
+                options.append(("", repeat))
             after: dict[int, tuple[float, str]] = {}
             for context, (score, out) in states.items():
                 for letter, cost in options:
                     if letter:
-                        code = ord(letter) - 96 if "a" <= letter <= "z" else 0 if letter in _GAPS else 27
+                        code = ord(letter) - 96 if "a" <= letter <= "z" else 0 if letter[0] in _GAPS or letter in _AFTER and read > last else 27
                         value, to = score + cost + model[context * SIZE + code], (context * SIZE + code) % wrap
+                        if read <= first and letter == ch:  # a mark before the word
+                            value, to = score + cost, context
                     else:
                         value, to = score + cost, context
                     if to not in after or value > after[to][0]:
                         after[to] = (value, out + letter)
             states, previous = after, ch
         best = max(((score + model[context * SIZE], out) for context, (score, out) in states.items()), key=lambda x: (x[0], x[1]))[1]
-        if len(self.cache) >= self.most:
-            self.cache.clear()
-        self.cache[run] = best
         return best
 
     def restore(self, text: str | None) -> str:
-        """The text in lower case, its disguised runs replaced."""
-        text = (text or "").lower()
-        return _DISGUISED.sub(lambda m: self.decode(m[0]), text) if _HINT.search(text) else text
+        """The text in lower case, its runs replaced by their best paths."""
+
+        def best(m: re.Match) -> str:
+            run = m[0]
+            found = self.cache.get(run)
+            if found is None:
+                found = self.decode(run) if _OPEN.match(run) else run
+                if len(self.cache) >= self.most:
+                    self.cache.clear()
+                self.cache[run] = found
+            return found
+
+        return _RUN.sub(best, (text or "").lower())
 
 
 def restored_words(text: str) -> set[bytes]:

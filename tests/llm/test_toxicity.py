@@ -85,3 +85,25 @@ def test_only_verified_copies_of_one_label_are_one_witness(spark):
     known = spark.createDataFrame([(i, y) for i, _, y in rows], "id long, label int")
     seen = T.witnesses(spark.createDataFrame([(i, t) for i, t, _ in rows], "id long, text string"), known).collect()
     assert sorted(r.id for r in seen) == [*range(30), 100, 103, 105, 107, 108]
+
+
+@pytest.fixture(scope="module")
+def reader():
+    """A restorer that has read plain text with doubled letters and marks."""
+    text = " ".join(["you are an idiot, a killer and a hater; the clot is better off! all letters add up (see the moron below)."] * 50)
+    codes = T._CODE[np.frombuffer(("   " + text + " ").encode(), np.uint8)]
+    grams = ((codes[:-3] * 28 + codes[1:-2]) * 28 + codes[2:-1]) * 28 + codes[3:]
+    return T.Restorer(T.character_model(np.bincount(grams, minlength=28**4).astype(float)))
+
+
+@pytest.mark.parametrize(
+    ("text", "word"),
+    [('so "1d1ot" it is', "idiot"), ("'id1ot'", "idiot"), ("you-1d1ot", "idiot"), ("idio7", "idiot"), ("ki11er", "killer"), ("hat3r hate3", "hater"), ("clo+", "clot"), ("m  o  r  o  n", "moron"), ("m/o/r/o/n", "moron"), ("m - o - r - o - n", "moron"), ("idiiot", "idiot"), ("mooron.", "moron"), ("x,1diot!", "idiot"), ("idiot$$$", "idiot")],
+)
+def test_ordinary_disguises_reach_the_lattice(reader, text, word):
+    assert word.encode() in T.restored_words(reader.restore(text))
+
+
+def test_doubled_letters_and_marks_of_plain_words_stay(reader):
+    text = "all letters add up (see below), better off! you are off!"
+    assert reader.restore(text) == text
