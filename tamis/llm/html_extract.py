@@ -5,7 +5,8 @@ containers it stands in. Lines inside elements that never hold main text (menus,
 id or role says so are set aside as they come. The ratio of characters to tags per line is smoothed with a Gaussian
 and cut at a threshold in units of its deviation; the lines above it cluster into content regions. The region's
 container is then taken whole, short lines included: the article element that holds most of the clustered text, or,
-where a page marks none, the deepest container that holds nearly all of it.
+where a page marks none, the deepest container (no paragraph, list item, heading or cell) that holds all of it and the
+page's headings, or the whole page.
 
 Defined results: a null or empty page, or one without such a region, gives an empty text. Character references are
 decoded, white space inside a block becomes one blank, blocks are trimmed and joined in page order by one blank; nothing
@@ -36,6 +37,9 @@ _NOISE = frozenset(
 )
 #: Those that layout wrappers of the article may carry too.
 _LAYOUT = frozenset("sidebar side header footer nav menu banner widget notice ad ads".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks of text, which are no containers of a region.
+_TEXT = _HEADINGS | frozenset("p li dt dd td th tr caption pre blockquote center address figcaption legend summary option".split())
 #: Start tags that end an open element of the second kind.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table select article section div body main".split())
@@ -50,6 +54,7 @@ class Line:
     tags: int
     path: tuple[int, ...]  # open containers, by number
     article: int  # number of the innermost article container, or -1
+    heading: bool
 
 
 class LineParser(HTMLParser):
@@ -79,7 +84,7 @@ class LineParser(HTMLParser):
             text = " ".join("".join(self._buffer).split())
             self._buffer.clear()
             if text:
-                self.lines.append(Line(text, self._tags, tuple(x[1] for x in self._open), self._article))
+                self.lines.append(Line(text, self._tags, tuple(x[1] for x in self._open if x[0] not in _TEXT), self._article, any(x[0] in _HEADINGS for x in self._open)))
                 self._tags = 0
 
     def _why(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
@@ -175,14 +180,9 @@ def content_lines(lines: list[Line], factor: float = 0.5) -> list[Line]:
         mass = {a: sum(c for x, c, k in zip(lines, chars, chosen, strict=True) if k and a in x.path) for a in sorted(articles)}
         best = max(mass, key=lambda a: (mass[a], -a))
         return [x for x in lines if best in x.path and x.article >= 0]
-    total = float(chars[chosen].sum())
-    weight: dict[int, float] = {}
-    for x, c, k in zip(lines, chars, chosen, strict=True):
-        if k:
-            for container in x.path:
-                weight[container] = weight.get(container, 0.0) + c
-    inside = max((n for n, w in weight.items() if w >= 0.8 * total), default=-1)  # numbers grow inwards
-    return [x for x in lines if inside in x.path] if inside >= 0 else [x for x, k in zip(lines, chosen, strict=True) if k]
+    wanted = [set(x.path) for x, k in zip(lines, chosen, strict=True) if k or x.heading]
+    inside = max(set.intersection(*wanted), default=-1)  # numbers grow inwards
+    return [x for x in lines if inside in x.path] if inside >= 0 else lines
 
 
 def extract_text(html: str | None) -> str:

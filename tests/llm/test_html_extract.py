@@ -26,3 +26,17 @@ def test_pages_keep_their_rows_and_columns(spark):
     assert found.columns == ["page_id", "url", "text"]
     assert sorted((str(r.page_id), len(r.text)) for r in found.collect()) == [("1", 1), ("1", 1), ("2", 0), ("None", len(LONG) * 500)]
     assert extract_pages(spark.createDataFrame([], "page_id long, html string")).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<div><h1>T</h1><p>short</p><p>{LONG * 9}</p></div>", f"T short {LONG * 9}"),
+        (f"<p>short</p><p>{LONG * 9}</p>", f"short {LONG * 9}"),
+        (f"<body><nav>m</nav><div><h1>T</h1><div id=content><p>{LONG * 9}</p></div></div></body>", f"T {LONG * 9}"),
+        (f"<body><div><div><p>{LONG * 9}</p><p>b</p></div><div><p>{LONG}</p></div></div><footer>f</footer></body>", f"{LONG * 9} b {LONG}"),
+        (f"<div><ul><li>a<li>{LONG * 9}</ul><blockquote>{LONG}</blockquote></div>", f"a {LONG * 9} {LONG}"),
+    ],
+)
+def test_pages_without_an_article_keep_all_content(html, text):
+    assert extract_text(html) == text
