@@ -8,12 +8,13 @@ probability of their weighted Jaccard similarity, whatever their sizes, and a pr
 passes the document's latest slot. Slots are cut into bands; texts that agree in a band are candidates.
 
 Texts of the same words are one node, so copies never multiply. Links of similarity >= 0.8 are verified on the
-multisets themselves, and connected components are taken by alternating stars. Only buckets that hold several
-components need work, and they get it in rounds: first the member that agrees most with others against the rest, in a
-few bands; then one such centre for each small component; at last every member of a small component against all of its
-bucket. That comparison forms no pairs: a run holds some members, the others stream past, sizes and signatures rule
-most of them out, the rest are verified there and then, and only links come out. What is lost is what banding misses (at similarity 0.8 a pair shares
-a band with probability 0.9994) and pairs whose signatures agree five deviations too little (one in three million).
+multisets themselves, and connected components are taken by alternating stars. In every bucket the member that agrees
+most with others is the centre, and each other member is verified against it, a pair at most once whatever the number
+of shared buckets. Only buckets whose other members are then of several components need more work, one bucket for all
+that hold the same members: members outside the largest component are held in runs of bounded size while all stream
+past. That comparison forms no pairs: sizes and signatures rule most of them out, the rest are verified there and then,
+and only links come out. What is lost is what banding misses (at similarity 0.8 a pair shares a band with probability
+0.9994) and pairs whose signatures agree six deviations too little (one in a thousand million).
 
 Result: one row per document with the least id of its class. A document without words, or of fewer than four shingles
 and no copy, is a class of its own (each such row; with a null id its class is null). Null ids join classes and sort
@@ -30,23 +31,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import materialize
+from tamis.llm.common import discard, free_name, materialize
 from tamis.llm.decontaminate import words_of
 
 SHINGLE = 5
 BANDS, BAND_ROWS = 40, 8
 #: Members of one centre that one verification run is meant to hold.
 MEMBERS_PER_RUN = 500
-#: Bands of the first round.
-FIRST_BANDS = 5
-#: Least share of equal slots: five deviations below the similarity.
-LEAST_ESTIMATE = 0.8 - 5 * (0.8 * 0.2 / (BANDS * BAND_ROWS)) ** 0.5
-#: Members that one signature run holds, and those that stream past it.
-RUN_HELD, RUN_PASSING = 2_000, 50_000
+#: Least share of equal slots: six deviations below the similarity.
+LEAST_ESTIMATE = 0.8 - 6 * (0.8 * 0.2 / (BANDS * BAND_ROWS)) ** 0.5
+#: Members and shingles that one comparison run holds, and members that stream past it.
+RUN_HELD, RUN_SHINGLES, RUN_PASSING = 2_000, 2_000_000, 50_000
 #: Sets of keys of up to this size are sent to every executor instead of shuffling texts.
-BROADCAST_KEYS = 1_000_000
-#: Text that is hashed at a time.
-BATCH_BYTES = 4_000_000
+BROADCAST_KEYS = 200_000
+#: Text and documents that are hashed at a time.
+BATCH_BYTES, BATCH_DOCS = 2_000_000, 4_000
+#: Keys with more than one in so many rows are hot: there are few, and their rows stay where they are in joins.
+HOT_SHARE = 1_000
 
 _U, _MASK = np.uint64, (1 << 64) - 1
 _GOLDEN, _BASE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -161,7 +162,7 @@ def slot_bytes(signature: np.ndarray) -> np.ndarray:
 def _slices(sizes: list[int]) -> Iterator[slice]:
     start, total = 0, 0
     for i, n in enumerate(sizes):
-        if total and total + n > BATCH_BYTES:
+        if total + n > BATCH_BYTES and i > start or i - start >= BATCH_DOCS:
             yield slice(start, i)
             start, total = i, 0
         total += n
@@ -172,10 +173,9 @@ def _slices(sizes: list[int]) -> Iterator[slice]:
 def _sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """(key, n, bands, slots): key digests the words; n counts shingles; the rest is null below four."""
     for batch in batches:
-        texts = [normalise(t) for t in batch]
         out = [pd.DataFrame({c: [] for c in ("key", "n", "bands", "slots")}, dtype=object)]
-        for s in _slices([len(t) for t in texts]):
-            part = texts[s]
+        for s in _slices([len(t) if t else 0 for t in batch]):
+            part = [normalise(t) for t in batch.iloc[s]]
             hashes, text_of = shingle_hashes(part)
             n = np.bincount(text_of, minlength=len(part))
             big = np.flatnonzero(n >= 4)
@@ -238,48 +238,72 @@ def verified(pairs: DataFrame, texts: DataFrame, members_per_run: int = MEMBERS_
     return rows.mapInPandas(_verify, "a binary, b binary")
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of `rows` with `keyed`, which has one row per key and the number _n of its rows. Keys of more than one
+    in HOT_SHARE of the `total` rows, fewer than HOT_SHARE of them, are sent to the rows, the others shuffled."""
+    hot = F.col("_n") * HOT_SHARE > total
+    sent = keyed.filter(hot).drop("_n").withColumn("_hot", F.lit(True))
+    apart = rows.join(F.broadcast(sent), key, "left")
+    columns = [*rows.columns, *(c for c in keyed.columns if c not in (key, "_n"))]
+    cold = apart.filter("_hot is null").select(*rows.columns).join(keyed.filter(~hot).drop("_n"), key)
+    return apart.filter("_hot").select(*columns).unionByName(cold.select(*columns))
+
+
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """(key, comp): the least key of the connected component of every key in `links`, by alternating large and small stars."""
+    """(key, comp): the least key of the connected component of every key in `links`, by alternating large and small
+    stars, as a table. A hub's rows are pre-aggregated and stay where they are."""
     flat = links.filter(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).distinct()
-    edges, seen = materialize(flat, "links"), None
-    while True:
+    edges = materialize(flat, "links")
+    seen = state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(least.withColumnRenamed("m", "v")).filter("u != v").distinct(), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
+        large = join_hot(both.filter(F.col("v") > F.col("u")), least, "u", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "links")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+        small = join_hot(large, least, "u", state[0]).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(edges, large)
+        edges = now
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == seen:
             break
-        seen = now
+        seen = state
     tops = edges.select(F.col("v").alias("key")).distinct()
-    return edges.select(F.col("u").alias("key"), F.col("v").alias("comp")).unionByName(tops.select("key", F.col("key").alias("comp")))
-
-
-def _mixed(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """The rows of the buckets that hold several components, with comp."""
-    rows = buckets.select("band", "hash", "key").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    several = rows.groupBy("band", "hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("band", "hash")
-    return materialize(rows.join(several, ["band", "hash"]), "mixed")
+    out = materialize(edges.select(F.col("u").alias("key"), F.col("v").alias("comp")).unionByName(tops.select("key", F.col("key").alias("comp"))), "components")
+    discard(edges)
+    return out
 
 
-def _centres(rows: DataFrame, popular: DataFrame) -> DataFrame:
-    """(band, hash, centre, centre_comp, agrees): each bucket's member that agrees most with others."""
-    ranked = rows.join(popular, "key")
-    return ranked.groupBy("band", "hash").agg(F.max(F.struct("agrees", "key", "comp")).alias("c")).select("band", "hash", F.col("c.key").alias("centre"), F.col("c.comp").alias("centre_comp"), F.col("c.agrees").alias("agrees"))
+def _mixed(others: DataFrame, comps: DataFrame) -> DataFrame:
+    """(hash, key, n, comp): of the buckets whose members besides the centre are of several components, one of each set
+    of members."""
+    rows = others.select("hash", "key", "n").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    marks = (F.min(F.xxhash64("comp")).alias("lo"), F.max(F.xxhash64("comp")).alias("hi"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"), F.count(F.lit(1)).alias("size"))
+    several = rows.groupBy("hash").agg(*marks).filter("lo != hi").groupBy("x", "y", "size").agg(F.min("hash").alias("hash"))
+    several = materialize(several.select("hash"), "several")
+    out = materialize(rows.join(several, "hash"), "mixed")
+    discard(several)
+    return out
 
 
-def bags(words: list[bytes]) -> list[set[int]]:
-    """The shingle multisets as sets: an element's k-th occurrence is an element of its own."""
+def bags(words: list[bytes]) -> list[np.ndarray]:
+    """The shingle multisets as sorted sets: an element's k-th occurrence is an element of its own."""
     hashes, text_of = shingle_hashes(words)
     order = np.lexsort((hashes, text_of))
     h, t = hashes[order], text_of[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])]) if len(h) else np.zeros(0, bool)
     at = np.arange(len(h))
     nth = at - np.maximum.accumulate(np.where(new, at, 0))
-    coded, cuts = (h + nth.astype(np.uint64) * _GOLDEN).tolist(), np.searchsorted(t, np.arange(len(words) + 1))
-    return [set(coded[s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+    coded, cuts = h + nth.astype(np.uint64) * _GOLDEN, np.searchsorted(t, np.arange(len(words) + 1))
+    return [np.sort(coded[s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def shared_elements(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(a):
+        return 0
+    return int(np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b))
 
 
 class _Run:
@@ -308,7 +332,7 @@ class _Run:
             share, j = equal[i, j], j + at
             apart = (self.comps[i] != comps[j]) & (~minor[j].astype(bool) | (self.keys[i] < keys[j]))
             i, j, share = i[apart], j[apart], share[apart]
-            known: dict[int, set[int]] = {}
+            known: dict[int, np.ndarray] = {}
             for k in np.argsort(-share, kind="stable"):
                 a, b = int(i[k]), int(j[k])
                 x, y = self.find(self.comps[a]), self.find(comps[b])
@@ -316,19 +340,19 @@ class _Run:
                     continue
                 if b not in known:
                     known[b] = bags([words[b]])[0]
-                if similar(len(self.bags[a] & known[b]), int(self.n[a]), int(m[b])):
+                if similar(shared_elements(self.bags[a], known[b]), int(self.n[a]), int(m[b])):
                     out.append((self.keys[a], keys[b]))
                     self.top[max(x, y)] = min(x, y)
         return out
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (band, hash, run, side, key, comp, n, slots, minor, words), held ones (side 0) first; yields verified links."""
+    """Rows (hash, run, side, key, comp, n, slots, minor, words), held ones (side 0) first; yields verified links."""
     now: tuple | None = None
     held: list = []
     run: _Run | None = None
     for batch in batches:
-        group = list(zip(batch["band"], batch["hash"], batch["run"], strict=True))
+        group = list(zip(batch["hash"], batch["run"], strict=True))
         side, at, out = batch["side"].to_numpy(), 0, []
         while at < len(group):
             end = at
@@ -346,20 +370,21 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def compare_buckets(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links (a, b) between members of different components of a bucket. Members outside the bucket's largest
-    component are held in runs of bounded size; all members stream past each run."""
-    sizes = rows.groupBy("band", "hash", "comp").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("band", "hash").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"))
-    sizes = sizes.select("band", "hash", F.col("top.comp").alias("major"), F.ceil((F.col("total") - F.col("top.n")) / RUN_HELD).cast("int").alias("blocks"), F.ceil(F.col("total") / RUN_PASSING).cast("int").alias("salts"))
-    full = nodes.select("key", "n", "slots").join(texts, "key")
-    rows = rows.join(sizes, ["band", "hash"]).join(full, "key").withColumn("minor", F.col("comp") != F.col("major"))
+    """Verified links (a, b) between members of different components of a bucket; rows are (hash, key, n, comp). Members
+    outside the bucket's largest component are held in runs of bounded size; all members stream past each run."""
+    sizes = rows.groupBy("hash", "comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    sizes = sizes.groupBy("hash").agg(F.max(F.struct("members", "shingles", "comp")).alias("top"), F.sum("members").alias("total"), F.sum("shingles").alias("all"))
+    blocks = F.greatest((F.col("total") - F.col("top.members")) / RUN_HELD, (F.col("all") - F.col("top.shingles")) / RUN_SHINGLES)
+    sizes = materialize(sizes.select("hash", F.col("top.comp").alias("major"), F.ceil(blocks).cast("int").alias("blocks"), F.ceil(F.col("total") / RUN_PASSING).cast("int").alias("salts")), "sizes")
+    rows = rows.join(sizes, "hash").withColumn("minor", F.col("comp") != F.col("major"))
     block, salt = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    columns = ("band", "hash", "run", "side", "key", "comp", "n", "slots", "minor", "words")
+    columns = ("hash", "run", "side", "key", "comp", "n", "minor")
     held = rows.filter("minor").withColumn("_k", each(F.col("salts"))).withColumns({"run": block * F.col("salts") + F.col("_k"), "side": F.lit(0)}).select(*columns)
     passing = rows.withColumn("_k", each(F.col("blocks"))).withColumns({"run": F.col("_k") * F.col("salts") + salt, "side": F.lit(1)}).select(*columns)
-    runs = held.unionByName(passing).repartition("band", "hash", "run").sortWithinPartitions("band", "hash", "run", "side")
-    return runs.mapInPandas(_compare, "a binary, b binary")
+    full = nodes.select("key", "slots").join(texts, "key")
+    runs = held.unionByName(passing).join(full, "key").repartition("hash", "run").sortWithinPartitions("hash", "run", "side")
+    return runs.select("hash", "run", "side", "key", "comp", "n", "slots", "minor", "words").mapInPandas(_compare, "a binary, b binary")
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,30 +407,34 @@ def _node_texts(docs: DataFrame, members: DataFrame, id_col: str, text_col: str)
 def link_components(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, comp) of the word sequences that have a similar other one."""
     first = signed.filter("bands is not null").groupBy("key").agg(F.min("id").alias("id"))
-    banded = signed.filter("bands is not null").dropDuplicates(["key"]).select("key", F.posexplode("bands").alias("band", "hash"))
-    shared = banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = materialize(banded.join(shared, ["band", "hash"]), "buckets")
+    banded = signed.filter("bands is not null").select("key", "n", "bands").dropDuplicates(["key"]).select("key", "n", F.explode("bands").alias("hash"))
+    shared = banded.groupBy("hash").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    buckets = materialize(banded.join(shared, "hash"), "buckets")
     popular = materialize(buckets.groupBy("key").agg(F.sum("size").alias("agrees")), "popular")
     members = materialize(first.join(popular.select("key"), "key", "left_semi"), "members")
     texts = _node_texts(docs, members, id_col, text_col)
-    nodes = signed.join(popular.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "slots")
 
-    few = buckets.filter(F.col("band") < FIRST_BANDS).select("band", "hash", "key", F.col("key").alias("comp"))
-    pairs = few.join(_centres(few, popular), ["band", "hash"]).filter("key != centre").select("centre", F.col("key").alias("member")).distinct()
-    links = materialize(verified(pairs, texts), "verified")
-    rows = _mixed(buckets, components(links))
-    if not rows.isEmpty():
-        asked = rows.join(_centres(rows, popular), ["band", "hash"]).filter("comp != centre_comp")
-        pairs = asked.groupBy("comp").agg(F.max(F.struct("agrees", "centre", "key")).alias("p")).select("p.centre", F.col("p.key").alias("member"))
-        links = materialize(links.unionByName(verified(pairs, texts)), "verified")
-        rows = _mixed(rows, components(links))
+    ranked = buckets.select("hash", "key").join(popular, "key").groupBy("hash").agg(F.max(F.struct("agrees", "key")).alias("c"))
+    centres = materialize(ranked.select("hash", F.col("c.key").alias("centre")), "centres")
+    others = materialize(buckets.select("hash", "key", "n").join(centres, "hash").filter("key != centre"), "others")
+    discard(buckets, centres)
+    links = materialize(verified(others.select("centre", F.col("key").alias("member")).distinct(), texts), "verified")
+    comps = components(links)
+    rows = _mixed(others, comps)
+    discard(others)
     if not rows.isEmpty():
-        links = links.unionByName(compare_buckets(rows, nodes, texts))
-    return components(links)
+        nodes = signed.join(popular.select("key"), "key", "left_semi").select("key", "slots").dropDuplicates(["key"])
+        discard(comps)
+        more = materialize(compare_buckets(rows, nodes, texts), "compared")
+        comps = components(links.unionByName(more))
+        discard(more)
+    discard(links, rows, texts, popular, members)
+    return comps
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, first) of every document; first marks the rows of the class's least (id, text fingerprint)."""
+    """(id, class_id, first, print) of every document; first marks the rows of the class's least (id, text
+    fingerprint), print is that fingerprint."""
     signed = sign(docs, id_col, text_col)
     comps = link_components(docs, signed, id_col, text_col)
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("print").alias("print"))
@@ -416,18 +445,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = signed.select("id", "print", "key").join(named, "key", "left")
     alone = F.col("key").isNull()
     return found.select(
-        F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("class_id"),
-        (alone | (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("print") == F.col("head.print")))).alias("first"), F.col("print").alias("_print"),
+        F.col("id").alias("id"), F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("class_id"),
+        (alone | (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("print") == F.col("head.print")))).alias("first"), "print",
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of `docs` per class, with its columns: the one of the least id; rows that repeat id and text count once."""
-    found = materialize(classes(docs, id_col, text_col).filter("first").groupBy(F.col(id_col).alias("_id"), "_print").agg(F.count(F.lit(1)).alias("_rows")), "heads")
-    rows = docs.withColumn("_p", F.xxhash64(text_col))
-    same = rows[id_col].eqNullSafe(F.col("_id")) & (F.col("_p") == F.col("_print"))
-    kept = rows.join(found.filter("_rows = 1"), same, "left_semi")
-    repeated = found.filter("_rows > 1")
+    found = materialize(classes(docs, id_col, text_col).filter("first").groupBy("id", "print").agg(F.count(F.lit(1)).alias("n")), "heads")
+    own, mark = free_name("_id", docs), free_name("_print", docs)
+    found = found.select(F.col("id").alias(own), F.col("print").alias(mark), F.col("n").alias("_n"))
+    same = docs[id_col].eqNullSafe(found[own]) & (F.xxhash64(docs[text_col]) == found[mark])
+    kept = docs.join(found.filter("_n = 1"), same, "left_semi")
+    repeated = found.filter("_n > 1")
     if not repeated.isEmpty():
-        kept = kept.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates([id_col, "_p"]))
+        print_ = free_name("_p", docs)
+        kept = kept.unionByName(docs.join(repeated, same, "left_semi").withColumn(print_, F.xxhash64(text_col)).dropDuplicates([id_col, print_]).drop(print_))
     return kept.select(*docs.columns)

@@ -45,7 +45,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bagminhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return bagminhash.classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ def corpus():
 def test_classes_match_brute_force(spark, corpus):
     found = B.classes(spark.createDataFrame(corpus, "doc_id long, text string")).collect()
     assert len(found) == len(corpus)
-    assert {r.doc_id: r.class_id for r in found} == brute_classes(corpus)
+    assert {r.id: r.class_id for r in found} == brute_classes(corpus)
 
 
 def test_keep_one_keeps_columns_and_one_of_each(spark, corpus):
@@ -77,7 +77,7 @@ def test_empty_table(spark):
 def test_null_ids_join_classes(spark):
     text = " ".join(f"w{k}" for k in range(30))
     rows = [(None, text), (3, text), (None, None), (7, text + " end")]
-    found = {(r.doc_id, r.class_id) for r in B.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {(r.id, r.class_id) for r in B.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {(None, 3), (3, 3), (7, 3), (None, None)}
 
 
