@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import materialize
+from tamis.llm.common import free_name, materialize
 
 STATS = "_stats"
 _SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_distinct long, n_upper long, n_letters long, n_digits long, n_marks long"
@@ -156,9 +156,9 @@ def learn_rules(data: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray,
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", stats_col: str = STATS, max_rows: int = 50_000) -> list[Rule]:
     """Rules from the labelled rows of `stats` that pass the base rules. Ids with two labels count as their lesser one."""
     y = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
-    rows = stats.filter(~base_failed(stats_col)).join(y, F.col(id_col) == F.col("_id"))
     named = features(stats_col)
-    rows = rows.select("_id", "_label", F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(3)).alias("_fold"), *(v.alias(k) for k, v in named.items()))
+    rows = stats.filter(~base_failed(stats_col)).select(F.col(id_col).alias("_key"), *(v.alias(k) for k, v in named.items()))
+    rows = rows.join(y, F.col("_key") == F.col("_id")).select("_id", "_label", F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(3)).alias("_fold"), *named)
     sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(max_rows).toPandas()
     if sample.empty:
         return []
@@ -180,15 +180,21 @@ def kept(rules: list[Rule], stats_col: str = STATS) -> Column:
     return ~base_failed(stats_col) & fired_rule(rules, stats_col).isNull()
 
 
+def _all_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, STATS) of every row, as a table."""
+    plain = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    return materialize(with_stats(plain, "_text").select(id_col, STATS), "quality")
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 50_000) -> DataFrame:
     """(id, statistics, base_failed, rule, kept) of every row."""
-    stats = materialize(with_stats(docs.select(F.col(id_col), F.col(text_col).alias("_text")), "_text").drop("_text"), "quality")
+    stats = _all_stats(docs, id_col, text_col)
     rules = fit(stats, labels, id_col, max_rows=max_rows)
     return stats.select(id_col, f"{STATS}.*", base_failed().alias("base_failed"), F.when(~base_failed(), fired_rule(rules)).alias("rule"), kept(rules).alias("kept"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 50_000) -> DataFrame:
-    """The kept rows of `docs`, with its columns."""
-    known = labels.select(id_col).distinct()
-    rules = fit(with_stats(docs.join(known, id_col, "left_semi").select(id_col, F.col(text_col).alias("_text")), "_text"), labels, id_col, max_rows=max_rows)
-    return with_stats(docs, text_col).filter(kept(rules)).drop(STATS)
+    """The kept rows of `docs`, with its columns. Only statistics meet the labels; texts are read twice and never moved."""
+    rules = fit(_all_stats(docs, id_col, text_col), labels, id_col, max_rows=max_rows)
+    own = free_name(STATS, docs)
+    return with_stats(docs, text_col, own).filter(kept(rules, own)).drop(own)
