@@ -27,8 +27,8 @@ from tamis.llm.common import shuffle_partitions
 
 #: A block closes with the document that reaches either number.
 BLOCK_IDS, BLOCK_DOCS = 1 << 20, 1 << 13
-#: Chunks of text whose ids a worker keeps.
-CACHE_CHUNKS = 600_000
+#: Chunks of text whose ids a worker keeps, and pieces of such.
+CACHE_CHUNKS = 250_000
 SELECT_EVERY = 64
 
 
@@ -99,6 +99,24 @@ _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
 
+class _Cache:
+    """Ids by text. Beyond `most` entries only those that came again stay."""
+
+    def __init__(self, most: int):
+        self.most, self.again = most, set()
+        self.ids: dict[str, bytes] = {"": b""}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Which of `wanted` are to be added; the others will be there."""
+        if len(self.ids) > self.most:
+            stay = self.again if len(self.again) < self.most // 2 else wanted & self.again
+            self.ids = {x: self.ids[x] for x in stay} | {"": b""}
+            self.again = set()
+        new = wanted.difference(self.ids)
+        self.again |= wanted - new
+        return list(new)
+
+
 class ChunkEncoder:
     """Ids of whole texts, by a cache of the ids of their chunks between blanks and line feeds.
 
@@ -110,9 +128,8 @@ class ChunkEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.most = Tokenizer.from_file(file), np.array([end_id], "<u4").tobytes(), cache_chunks
-        self.cache: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.tokenizer, self.end = Tokenizer.from_file(file), np.array([end_id], "<u4").tobytes()
+        self.cache, self.pieces = _Cache(cache_chunks), _Cache(cache_chunks)
         spec = json.loads(self.tokenizer.to_str())
         suffix = spec["model"].get("end_of_word_suffix")
         self.by_piece = bool(suffix) and _PIECES in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\") and '"Lowercase"' in json.dumps(spec["normalizer"])
@@ -130,9 +147,9 @@ class ChunkEncoder:
             ids = np.frombuffer(found, "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(ends) == len(group) and ends[-1] == len(found):
-                self.pieces.update(zip(group, (found[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+                self.pieces.ids.update(zip(group, (found[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
             else:
-                self.pieces.update(zip(group, self._encode_all(group), strict=True))
+                self.pieces.ids.update(zip(group, self._encode_all(group), strict=True))
 
     def _add_chunks(self, new: list[str]) -> None:
         whole = new
@@ -147,22 +164,18 @@ class ChunkEncoder:
                     marks.append(mark)
                 else:
                     whole.append(c)
-            if len(self.pieces) > self.most:
-                self.pieces = {"": b""}
-            self._add_pieces(list({*words, *marks}.difference(self.pieces)))
-            get = self.pieces.__getitem__
-            self.cache.update(zip(apart, map(bytes.__add__, map(get, words), map(get, marks)), strict=True))
-        self.cache.update(zip(whole, self._encode_all(whole), strict=True))
+            self._add_pieces(self.pieces.missing({*words, *marks}))
+            get = self.pieces.ids.__getitem__
+            self.cache.ids.update(zip(apart, map(bytes.__add__, map(get, words), map(get, marks)), strict=True))
+        self.cache.ids.update(zip(whole, self._encode_all(whole), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
-        if len(self.cache) > self.most:
-            self.cache = {"": b""}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.cache))
-        for at in range(0, len(new), 50_000):
-            self._add_chunks(new[at : at + 50_000])
-        get = self.cache.__getitem__
+        new = self.cache.missing(set().union(*split))
+        for at in range(0, len(new), 20_000):
+            self._add_chunks(new[at : at + 20_000])
+        get = self.cache.ids.__getitem__
         return [b"".join(map(get, words)) + self.end for words in split]
 
 
@@ -176,7 +189,7 @@ def _encoder(file: str, end_id: int) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
-def _text_slices(texts: list[str], most: int = 4_000_000) -> Iterator[slice]:
+def _text_slices(texts: list[str], most: int = 1_000_000) -> Iterator[slice]:
     """Slices of about `most` characters, so that a batch's working memory stays bounded."""
     start, size = 0, 0
     for i, t in enumerate(texts):
