@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,10 +27,19 @@ COMPARED = r"==|!=|<=|>=|<<|>>|\b(and|or|in|not|is)\b"
 # End of fixed values.
 
 
+_NO_CODE, _KEYWORD = rf"(?U){NOT_SIGNAL}", rf"^(?:{'|'.join(map(re.escape, SIGNAL_STARTS))})"
+_WORD_OR_SHIFT = r"(?U)<<|>>|\b(?:and|or|in|not|is)\b"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once: lambdas share no common subexpressions with what is around them."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines(text: Column) -> Column:
     """The lines of a text, without an empty last one; null counts as empty."""
-    parts = F.split(F.coalesce(text, F.lit("")), LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    drop_last = lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x)
+    return let(F.split(F.coalesce(text, F.lit("")), LINE_END, -1), drop_last)
 
 
 def strip(text: Column) -> Column:
@@ -52,12 +64,14 @@ def tokens(text: Column) -> Column:
 
 def has_signal(line: Column) -> Column:
     """Whether a line is code: not blank, comment, quoted or a version line, and it has a keyword, call or operator."""
-    s = strip(line)
-    keyword = F.lit(False)
-    for start in SIGNAL_STARTS:
-        keyword |= F.startswith(s, F.lit(start))
-    code = keyword | s.rlike("(?U)" + CALL) | s.rlike(AUGMENTED) | s.rlike("(?U)" + COMPARED) | (s.contains("=") & ~F.startswith(s, F.lit("=")))
-    return (s != "") & ~s.rlike("(?U)" + NOT_SIGNAL) & code
+
+
+    def code(s: Column) -> Column:  # an equals sign not in front is an assignment or an operator, so most patterns need no run
+        equals = F.when(s.contains("="), ~F.startswith(s, F.lit("=")) | s.rlike(AUGMENTED) | s.rlike("(?U)" + COMPARED))
+        found = equals.otherwise(s.rlike(_WORD_OR_SHIFT)) | s.rlike(_KEYWORD) | (s.contains("(") & s.rlike("(?U)" + CALL))
+        return (s != "") & found & ~s.rlike(_NO_CODE)
+
+    return let(strip(line), code)
 
 
 def signal_lines(text: Column) -> Column:
@@ -84,15 +98,17 @@ def first_def_name(text: Column) -> Column:
 
 def chunks(text: Column, size: int = 64, overlap: int = 8, least_signal: int = 2) -> Column:
     """array<struct<chunk_index,start_line,end_line,text>>, lines from 1: the whole text if it fits, else windows with enough signal."""
-    every = lines(text)
-    n, stride = F.size(every), max(1, size - overlap)
-    last = F.ceil(F.greatest(F.lit(0), n - size) / stride).cast("int") * stride
-    piece = lambda start: F.array_join(F.slice(every, start + 1, size), "\n")
-    windows = F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda s: F.struct((s + 1).alias("start_line"), F.least(s + size, n).alias("end_line"), piece(s).alias("text")))
-    kept = F.filter(windows, lambda w: signal_lines(w["text"]) >= least_signal)
-    whole = F.array(F.struct(F.lit(1).alias("start_line"), n.alias("end_line"), F.array_join(every, "\n").alias("text")))
-    chosen = F.when(n == 0, F.slice(whole, 1, 0)).when(n <= size, whole).otherwise(kept)
-    return F.transform(chosen, lambda w, i: F.struct(i.alias("chunk_index"), w["start_line"].alias("start_line"), w["end_line"].alias("end_line"), w["text"].alias("text")))
+    stride = max(1, size - overlap)
+
+    def cut(every: Column, signal: Column) -> Column:
+        n = F.size(every)
+        last = F.ceil(F.greatest(F.lit(0), n - size) / stride).cast("int") * stride
+        starts = F.filter(F.sequence(F.lit(0), last, F.lit(stride)), lambda s: F.size(F.filter(F.slice(signal, s + 1, size), lambda x: x)) >= least_signal)
+        chosen = F.when(n == 0, F.slice(starts, 1, 0)).when(n <= size, F.array(F.lit(0))).otherwise(starts)
+        piece = lambda s: F.array_join(F.slice(every, s + 1, size), "\n")
+        return F.transform(chosen, lambda s, i: F.struct(i.alias("chunk_index"), (s + 1).alias("start_line"), F.least(s + size, n).alias("end_line"), piece(s).alias("text")))
+
+    return let(lines(text), lambda every: let(F.transform(every, has_signal), lambda signal: cut(every, signal)))
 
 
 def line_slice(text: Column, start: Column, end: Column) -> Column:

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Writes a DataFrame below spark.checkpoint.dir (our own folder where that is unset) and reads it again."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """Writes a DataFrame below spark.checkpoint.dir and reads it again. Where that is unset, a local session gets our
+    own folder; on a cluster that is an error, since each executor would write to its own disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = (base or "/tmp/checkpoints").rstrip("/")
 
     def run(df: DataFrame) -> DataFrame:
         path = f"{base}/loop-{uuid.uuid4().hex}"

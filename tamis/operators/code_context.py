@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions import code
 from tamis.functions.text import lines, strip
+from tamis.operators.intervals import BIN, bins
 
 
 def function_rows(files: DataFrame) -> DataFrame:
@@ -14,22 +15,27 @@ def function_rows(files: DataFrame) -> DataFrame:
     return files.select("file", F.explode(code.functions_of(F.col("source"))).alias("f")).select("file", "f.*")
 
 
+def _binned(functions: DataFrame) -> DataFrame:
+    """Functions under each bin of lines that they reach, so that a file with many functions is many join keys."""
+    return functions.select("*", bins(F.col("start_line"), F.col("end_line")).alias("_bin"))
+
+
 def touched_functions(files: DataFrame, modified: DataFrame) -> DataFrame:
     """Functions, nested ones too, that hold a modified line (file, at)."""
-    f = function_rows(files)
-    hit = (f["file"] == modified["file"]) & modified["at"].between(f["start_line"], f["end_line"])
-    return f.join(modified, hit, "left_semi")
+    f, m = _binned(function_rows(files)), modified.select("file", "at", F.floor(F.col("at") / BIN).alias("_bin")).distinct()
+    hit = (f["file"] == m["file"]) & (f["_bin"] == m["_bin"]) & m["at"].between(f["start_line"], f["end_line"])
+    return f.join(m, hit, "left_semi").drop("_bin").dropDuplicates(["file", "walk"])
 
 
 def enclosing_span(files: DataFrame, points: DataFrame, before: int = 3, after: int = 8) -> DataFrame:
     """(file, at, start_line, end_line, name): the smallest function around each point, else a window of lines clamped
     to the file, else (source that does not parse has no functions) the same window."""
-    f = function_rows(files)
-    j = points.join(f, (points["file"] == f["file"]) & points["at"].between(f["start_line"], f["end_line"]), "left").drop(f["file"])
+    f, p = _binned(function_rows(files)), points.withColumn("_bin", F.floor(F.col("at") / BIN))
+    j = p.join(f, (p["file"] == f["file"]) & (p["_bin"] == f["_bin"]) & p["at"].between(f["start_line"], f["end_line"]), "left").drop(f["file"], f["_bin"])
     best = j.groupBy("file", "at").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "walk", "start_line", "end_line", "name")).alias("b"))
     n = files.select("file", F.size(lines(F.col("source"))).alias("n"))
     out = best.join(n, "file")
-    start = F.coalesce("b.start_line", F.greatest(F.lit(1), F.col("at") - before))
+    start = F.coalesce("b.start_line", F.greatest(F.lit(1), F.least(F.col("at") - before, F.col("n"))))
     end = F.coalesce("b.end_line", F.least(F.col("n"), F.col("at") + after))
     return out.select("file", "at", start.alias("start_line"), end.alias("end_line"), F.col("b.name").alias("name"))
 
@@ -52,7 +58,7 @@ def context_snippets(files: DataFrame, points: DataFrame) -> DataFrame:
     """(file, at, snippet): imports, the enclosing function, and the imported files, one blank line apart."""
     spans = enclosing_span(files, points).join(files, "file")
     other = cross_file_context(files).groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n\n").alias("other"))
-    body = F.array_join(F.slice(lines(F.col("source")), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
+    body = F.array_join(F.slice(lines(F.col("source")), F.col("start_line"), F.greatest(F.lit(0), F.col("end_line") - F.col("start_line") + 1)), "\n")
     parts = F.filter(F.array(code.imports_of(F.col("source")), body, F.coalesce("other", F.lit(""))), lambda x: x != "")
     return spans.join(other, "file", "left").select("file", "at", F.concat(strip(F.array_join(parts, "\n\n")), F.lit("\n")).alias("snippet"))
 

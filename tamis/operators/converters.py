@@ -8,48 +8,43 @@ from pyspark.sql import functions as F
 from tamis.functions import code
 from tamis.functions import text as T
 
-FIX_SCHEMA = "id int, vulnerable_code string, fixed_code string, repo_url string, hash string, commit_id string, cve_id string, cwe_id string, cvss3_base_score double, cvss2_base_score double, language string, lang string"
-EXAMPLE_FIXES = [
-    (1, "eval(x)\ny = 1", "int(x)", "https://host/org/app.git/", " abc ", None, "CVE-1", "CWE-95", 9.8, 5.0, "Python", None), (2, "   ", "x", "https://host/o/b", None, "c2", None, None, None, 4.3, None, "py"),
-    (3, "a = b(c)", "", "", "", "", "", "", 0.0, 7.5, "", ""), (4, "f()", "g()", None, None, None, None, None, None, None, "java", None), (5, "f()", "g()", "http://h/x.git", "h5", "c5", "CVE-5", " CWE-1 ", None, None, None, None),
-]
-EXAMPLE_PAIRS = [
-    (1, "x = 1\ny = 2\n", "x = 1\ny = 2\n"), (2, "a = b(c)\nd = e\nf = g", "h = i(j)\nk = l\nm = n"), (3, "", ""), (4, "x = f(1)\n# old", "x = f(1)\n# new"), (5, "def f():\n    return eval(x)\n", "def f():\n    return int(x)\n"),
-]
-MANIFEST_SCHEMA = "project string, git_url string, root_path string, sample_id string, file_path string, start_line int, end_line int, label int"
-EXAMPLE_MANIFEST = [
-    ("p", "u", None, "s1", "a.py", 1, 2, 0), ("p", "u", None, "s2", "a.py", 5, 4, 1), ("q", "u", "r", "s3", "b.py", 1, 1, 2), ("r", None, None, "s4", None, 1, 1, 1), ("p", "u", None, "s1", "c.py", 1, 3, 1), ("t", None, "r", "s6", "d.py", 1, 1, 1),
-]
-
-
+#: Where a fix commit may stand, in order.
+COMMIT_COLUMNS = ("hash", "commit_id", "commit_hash", "commit_sha")
 def present(*columns: str) -> list[Column]:
     """The columns, stripped; blank is null."""
     return [F.nullif(T.strip(F.col(c)), F.lit("")) for c in columns]
 
 
-def fix_samples(rows: DataFrame) -> DataFrame:
-    """Python rows with vulnerable code, their fields resolved; a version 3 score of 0.0 wins over version 2."""
+def fix_samples(rows: DataFrame, emit_fixed: bool = False) -> DataFrame:
+    """Samples of the Python rows that have vulnerable code, fixed code and a repository, their fields resolved; a
+    version 3 score of 0.0 wins over version 2. With `emit_fixed` each vulnerable sample (label 1, to be read at the
+    fix commit's parent) has a fixed twin (label 0, read at the fix commit)."""
     language = F.lower(F.coalesce(*present("language", "lang"), F.lit("")))
-    code_, url = T.strip(F.coalesce("vulnerable_code", F.lit(""))), F.coalesce(*present("repo_url"), F.lit("unknown_repo"))
+    (url,), (fixed,), (diff,) = present("repo_url"), present("fixed_code"), present("diff_with_context")
     project = F.regexp_replace(F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), -1), r"\.git", "")
-    kept = rows.filter(((language == "") | language.isin("python", "py")) & (code_ != ""))
-    return kept.select(
-        "id", project.alias("project"), F.coalesce(*present("hash", "commit_id"), F.lit("unknown_commit")).alias("commit_id"), F.coalesce(*present("cve_id"), F.lit("unknown")).alias("cve_id"),
-        T.strip(F.coalesce("cwe_id", F.lit("unknown"))).alias("vulnerability_type"), F.coalesce("cvss3_base_score", "cvss2_base_score", F.lit(0.0)).alias("cvss_score"), F.lit(1).alias("label"),
-        (F.coalesce(*present("fixed_code"), F.lit("")) != "").alias("has_fix"),
+    kept = rows.filter(((language == "") | language.isin("python", "py")) & present("vulnerable_code")[0].isNotNull() & fixed.isNotNull() & url.isNotNull())
+    commit = F.coalesce(*present(*COMMIT_COLUMNS), F.lit("unknown_commit"))
+    twin = lambda subtype, label, code_, target: F.struct(F.lit(subtype).alias("sample_subtype"), F.lit(label).alias("label"), code_.alias("source_code"), target.alias("target_commit"))
+    twins = [twin("vulnerable", 1, F.col("vulnerable_code"), F.lit(None).cast("string"))] + ([twin("fixed", 0, fixed, commit)] if emit_fixed else [])
+    kept = kept.select(
+        "id", project.alias("project"), commit.alias("commit_id"), F.coalesce(*present("cve_id"), F.lit("unknown_cve")).alias("cve_id"), T.strip(F.coalesce("cwe_id", F.lit("unknown"))).alias("vulnerability_type"),
+        F.coalesce("cvss3_base_score", "cvss2_base_score", F.lit(0.0)).alias("cvss_score"), F.coalesce(diff, F.lit("")).alias("diff_with_context"), "fixed_code", F.explode(F.array(*twins)).alias("t"),
     )
+    return kept.select("*", "t.*").drop("t")
 
 
-def fix_samples_sql() -> str:
-    from tamis.plans.dialect import strip, values
+def fix_samples_sql(rows: str) -> str:
+    """The same with twins, for DuckDB; `rows` is a query."""
+    from tamis.plans.dialect import strip
 
-    names = ", ".join(x.split()[0] for x in FIX_SCHEMA.split(", "))
     blank = lambda c: f"nullif({strip(c)}, '')"
-    return f"""WITH r({names}) AS ({values(EXAMPLE_FIXES)}),
-x AS (SELECT *, lower(coalesce({blank('language')}, {blank('lang')}, '')) AS l, coalesce({blank('repo_url')}, 'unknown_repo') AS url FROM r WHERE {strip("coalesce(vulnerable_code, '')")} <> '')
-SELECT id, replace(string_split(rtrim(url, '/'), '/')[-1], '.git', '') AS project, coalesce({blank('hash')}, {blank('commit_id')}, 'unknown_commit') AS commit_id, coalesce({blank('cve_id')}, 'unknown') AS cve_id,
-  {strip("coalesce(cwe_id, 'unknown')")} AS vulnerability_type, coalesce(cvss3_base_score, cvss2_base_score, 0)::DOUBLE AS cvss_score, 1 AS label, coalesce({blank('fixed_code')}, '') <> '' AS has_fix
-FROM x WHERE l IN ('', 'python', 'py')"""
+    return f"""WITH r AS ({rows}),
+x AS (SELECT *, lower(coalesce({blank('language')}, {blank('lang')}, '')) AS l, coalesce({', '.join(map(blank, COMMIT_COLUMNS))}, 'unknown_commit') AS c FROM r
+  WHERE {blank('vulnerable_code')} IS NOT NULL AND {blank('fixed_code')} IS NOT NULL AND {blank('repo_url')} IS NOT NULL)
+SELECT id, replace(string_split(rtrim({strip('repo_url')}, '/'), '/')[-1], '.git', '') AS project, c AS commit_id, coalesce({blank('cve_id')}, 'unknown_cve') AS cve_id, {strip("coalesce(cwe_id, 'unknown')")} AS vulnerability_type,
+  coalesce(cvss3_base_score, cvss2_base_score, 0)::DOUBLE AS cvss_score, coalesce({blank('diff_with_context')}, '') AS diff_with_context, fixed_code, t.s AS sample_subtype, t.y AS label,
+  CASE t.y WHEN 1 THEN vulnerable_code ELSE {blank('fixed_code')} END AS source_code, CASE t.y WHEN 1 THEN NULL ELSE c END AS target_commit
+FROM x, (VALUES ('vulnerable', 1), ('fixed', 0)) t(s, y) WHERE l IN ('', 'python', 'py')"""
 
 
 def line_label_samples(rows: DataFrame, id_col: str) -> DataFrame:
@@ -75,11 +70,8 @@ def manifest_violations(rows: DataFrame) -> DataFrame:
     return found.unionByName(repeated)
 
 
-def manifest_violations_sql() -> str:
-    from tamis.plans.dialect import values
-
-    names = ", ".join(x.split()[0] for x in MANIFEST_SCHEMA.split(", "))
-    return f"""WITH r({names}) AS ({values(EXAMPLE_MANIFEST)})
+def manifest_violations_sql(rows: str) -> str:
+    return f"""WITH r AS ({rows})
 SELECT sample_id, 'missing field' AS problem FROM r WHERE sample_id IS NULL OR file_path IS NULL UNION ALL SELECT sample_id, 'label' FROM r WHERE label NOT IN (0, 1)
 UNION ALL SELECT sample_id, 'lines' FROM r WHERE start_line > end_line UNION ALL SELECT sample_id, 'source' FROM r WHERE (git_url IS NULL) = (root_path IS NULL)
 UNION ALL SELECT sample_id, 'repeated id' FROM r GROUP BY sample_id HAVING count(*) > 1"""

@@ -15,7 +15,8 @@ def vector_topk(store: DataFrame, queries: DataFrame, k: int = 2, id_col: str =
     """(query_id, rank, id, similarity): the k nearest of every query (id, vector). Queries are read in blocks; each
     block meets every stored row once, and each task keeps its k best per query before the shuffle."""
     asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("q")).orderBy("query_id").collect()  # a stated query set
-    parts = []
+    nothing = store.select(F.col(id_col).alias("id"), F.col(id_col).alias("query_id"), F.lit(0.0).alias("similarity")).limit(0)
+    parts = [] if asked else [nothing]
     for at in range(0, len(asked), QUERY_BLOCK):
         literal = F.array(*(F.struct(F.lit(r.query_id).alias("query_id"), F.array(*(F.lit(float(x)) for x in r.q)).alias("q")) for r in asked[at : at + QUERY_BLOCK]))
         rows = store.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.explode(literal).alias("a")).select("id", F.col("a.query_id").alias("query_id"), F.round(cosine(F.col("v"), F.col("a.q")), 6).alias("similarity"))
@@ -39,3 +40,29 @@ def new_rows(store: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows to append: those whose non-empty keys the store lacks, the first of each."""
     fresh = rows.join(store.select(*keys).distinct(), keys, "left_anti")
     return fresh.dropDuplicates(keys)
+
+
+def first_match(store: DataFrame, asked: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """`asked` with the least `order` of the stored rows of its keys, null if there is none."""
+    return asked.join(store.groupBy(*keys).agg(F.min(order).alias(order)), keys, "left")
+
+
+def match_by_suffix(cases: DataFrame, findings: DataFrame) -> DataFrame:
+    """(expected, ord, path): the first finding (ord, path) whose path ends with the case's expected file name. They meet
+    on the last part of both; cases that no finding matches drop out."""
+    last = lambda c: F.element_at(F.split(F.col(c), "/"), -1)
+    met = cases.withColumn("_last", last("expected")).join(findings.withColumn("_last", last("path")), "_last").filter(F.endswith("path", F.col("expected")))
+    return met.groupBy("expected").agg(F.min(F.struct("ord", "path")).alias("m")).select("expected", "m.*")
+
+
+def nested_scores(meta: DataFrame, scores: DataFrame, keys: list[str], index: str = "chunk_index") -> DataFrame:
+    """Keys, score (the greatest probability) and chunks (structs in order of their index, probabilities to four
+    decimals). Chunks and scores are joined by key and index; a chunk without a score has a null one."""
+    rows = meta.join(scores.withColumn("prob", F.round("prob", 4)), [*keys, index], "left")
+    inner = [c for c in rows.columns if c not in (*keys, index)]
+    return rows.groupBy(*keys).agg(F.max("prob").alias("score"), F.array_sort(F.collect_list(F.struct(index, *inner))).alias("chunks"))
+
+
+def latest(runs: DataFrame, keys: list[str], time: str, name: str) -> DataFrame:
+    """The run of each key with the greatest time; of those the greatest name."""
+    return runs.groupBy(*keys).agg(F.max(F.struct(time, name)).alias("m")).select(*keys, "m.*")

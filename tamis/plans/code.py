@@ -1,4 +1,4 @@
-"""Code queries over literal sources and diffs: the tables hold no code."""
+"""Code queries over generated sources and diffs: the tables hold no code."""
 
 from __future__ import annotations
 
@@ -9,73 +9,62 @@ from tamis.functions import text as T
 from tamis.functions.code import calls_of, imports_of
 from tamis.operators import code_context, diffs
 from tamis.plans import dialect as D
+from tamis.plans import generated
 
-SOURCES = [
-    ("pkg/app.py", "import os\nfrom pkg.util import clean\n\ndef outer(x):\n    def inner(y):\n        return clean(y)\n    return inner(x)\n\nasync def go():\n    await outer(1)\n\nVALUE = 3\n"),
-    ("pkg/util.py", "def clean(v):\n    # strip\n    return v.strip()\n"), ("pkg/bad.py", "def broken(:\n    pass\n"), ("pkg/empty.py", ""),
-]
-POINTS = [("pkg/app.py", 6), ("pkg/app.py", 10), ("pkg/app.py", 12), ("pkg/util.py", 3), ("pkg/bad.py", 1)]
-DIFFS = [
-    (1, "diff --git a/pkg/app.py b/pkg/app.py\n--- a/pkg/app.py\n+++ b/pkg/app.py\n@@ -1,2 +1,3 @@\n import os\n+import re\n@@ -10,4 +11,6 @@ def outer(x):\n a\n+b\n+c\n-d\n e\ndiff --git a/tests/t.py b/tests/t.py\n--- a/tests/t.py\n+++ b/tests/t.py\n@@ -1 +1 @@\n-x\n+y\n"),
-    (2, "diff --git a/doc.md b/doc.md\n--- a/doc.md\n+++ b/doc.md\n@@ -0,0 +1 @@\n+text\n"), (3, "no header\n@@ -1 +1 @@\n+z"), (4, ""),
-]
-SPANS = [(1, 10, 20, 2, 12, 14), (2, 10, 20, 0, 5, 12), (3, 10, 20, 3, None, None), (4, 10, 20, 1, 30, 40), (5, 1, 4, 0, 1, 99)]
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated.frame(spark, sf_dir, "sources")
 
 
-def _files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SOURCES, "file string, source string")
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated.frame(spark, sf_dir, "points")
 
 
-def _points(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(POINTS, "file string, at int")
-
-
-def _diffs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DIFFS, "id int, diff string")
+def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated.frame(spark, sf_dir, "diffs")
 
 
 def functions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_context.function_rows(_files(spark)).select("file", "walk", "name", "start_line", "end_line")
+    return code_context.function_rows(_files(spark, sf_dir)).select("file", "walk", "name", "start_line", "end_line")
 
 
 def touched_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_context.touched_functions(_files(spark), _points(spark)).select("file", "name")
+    return code_context.touched_functions(_files(spark, sf_dir), _points(spark, sf_dir)).select("file", "name")
 
 
 def enclosing_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_context.enclosing_span(_files(spark), _points(spark))
+    return code_context.enclosing_span(_files(spark, sf_dir), _points(spark, sf_dir))
 
 
 def imports_and_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark).select("file", imports_of(F.col("source")).alias("imports"), F.array_join(calls_of(F.col("source")), ",").alias("calls"))
+    return _files(spark, sf_dir).select("file", imports_of(F.col("source")).alias("imports"), F.array_join(calls_of(F.col("source")), ",").alias("calls"))
 
 
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_context.call_edges(_files(spark))
+    return code_context.call_edges(_files(spark, sf_dir))
 
 
 def cross_file_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_context.cross_file_context(_files(spark))
+    return code_context.cross_file_context(_files(spark, sf_dir))
 
 
 def context_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_context.context_snippets(_files(spark), _points(spark))
+    return code_context.context_snippets(_files(spark, sf_dir), _points(spark, sf_dir))
 
 
 def first_def_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark).select("file", T.first_def_name(F.col("source")).alias("name"))
+    return _files(spark, sf_dir).select("file", T.first_def_name(F.col("source")).alias("name"))
 
 
 def diff_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diffs.anchors(_diffs(spark))
+    return diffs.anchors(_diffs(spark, sf_dir))
 
 
 def modified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diffs.modified_lines(_diffs(spark))
+    return diffs.modified_lines(_diffs(spark, sf_dir))
 
 
 def hunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(SPANS, "id int, start_line int, end_line int, header_lines int, hunk_start int, hunk_end int")
+    rows = generated.frame(spark, sf_dir, "spans")
     return code_context.hunk_offsets(rows).select("id", "text_start", "text_end")
 
 
@@ -86,15 +75,15 @@ _DIFF_LINES = f"l AS (SELECT id, unnest({D.lines('diff')}) AS line, generate_sub
 _HUNK = r"'^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)$'"
 
 ORACLES = {
-    "first_def_name": rf"WITH f(file, source) AS ({D.values(SOURCES)}) SELECT file, coalesce(nullif(regexp_extract({_HEAD}, '^(?:async )?def\s+([^\s(]*)', 1), ''), 'unknown_function') AS name FROM f",
-    "hunk_offsets": f"""WITH s(id, a, b, h, x, y) AS ({D.values(SPANS)}) SELECT id, CASE WHEN greatest(x, a) <= least(y, b) AND x IS NOT NULL THEN greatest(x, a) - a + 1 + h ELSE 0 END AS text_start,
+    "first_def_name": rf"WITH f AS ({generated.sql('sources')}) SELECT file, coalesce(nullif(regexp_extract({_HEAD}, '^(?:async )?def\s+([^\s(]*)', 1), ''), 'unknown_function') AS name FROM f",
+    "hunk_offsets": f"""WITH s(id, a, b, h, x, y) AS ({generated.sql('spans')}) SELECT id, CASE WHEN greatest(x, a) <= least(y, b) AND x IS NOT NULL THEN greatest(x, a) - a + 1 + h ELSE 0 END AS text_start,
 CASE WHEN greatest(x, a) <= least(y, b) AND x IS NOT NULL THEN least(y, b) - a + 1 + h ELSE 0 END AS text_end FROM s""",
-    "diff_anchors": rf"""WITH d(id, diff) AS ({D.values(DIFFS)}), {_DIFF_LINES},
+    "diff_anchors": rf"""WITH d AS ({generated.sql('diffs')}), {_DIFF_LINES},
 p AS (SELECT *, last_value(nullif(regexp_extract(line, '^diff --git a/.+ b/(.+)$', 1), '') IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos) AS path FROM l),
 h AS (SELECT *, contains(regexp_extract(line, {_HUNK}, 5), 'def ') AS has_def, regexp_extract(line, {_HUNK}, 1)::INT AS a, coalesce(nullif(regexp_extract(line, {_HUNK}, 2), ''), '1')::INT AS an,
   regexp_extract(line, {_HUNK}, 3)::INT AS b, coalesce(nullif(regexp_extract(line, {_HUNK}, 4), ''), '1')::INT AS bn FROM p WHERE path IS NOT NULL AND regexp_matches(line, {_HUNK}))
 SELECT id, path, a AS pre_start, a + greatest(1, an) - 1 AS pre_end, b AS post_start, b + greatest(1, bn) - 1 AS post_end, has_def FROM h QUALIFY row_number() OVER (PARTITION BY id, path ORDER BY has_def DESC, pos) = 1""",
-    "modified_lines": rf"""WITH d(id, diff) AS ({D.values(DIFFS)}), {_DIFF_LINES},
+    "modified_lines": rf"""WITH d AS ({generated.sql('diffs')}), {_DIFF_LINES},
 p AS (SELECT *, last_value(nullif(regexp_extract(line, '^\+\+\+ [ab]/(.+)$', 1), '') IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos) AS path, regexp_matches(line, {_HUNK}) AS ish FROM l),
 h AS (SELECT *, sum(CASE WHEN ish THEN 1 ELSE 0 END) OVER (PARTITION BY id, path ORDER BY pos) AS hunk FROM p WHERE path IS NOT NULL),
 a AS (SELECT *, NOT ish AND NOT starts_with(line, '-') AND NOT starts_with(line, '\') AS aft FROM h WHERE hunk > 0),

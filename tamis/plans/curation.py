@@ -9,6 +9,7 @@ from tamis.functions import text as T
 from tamis.operators import converters, curation, similarity
 from tamis.operators.checkpoint import checkpointed
 from tamis.plans import dialect as D
+from tamis.plans import generated
 from tamis.plans.samples import S, samples, table
 
 
@@ -33,11 +34,8 @@ def signal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("kept", F.col("signal") >= 2)
 
 
-_PATHS = [(1, "pkg/core/views.py"), (2, "pkg/docs/conf.py"), (3, "README.md"), (4, "src/tests/test_x.py"), (5, "setup.py"), (6, None), (7, "a/b/NEWS"), (8, "lib/io.PY"), (9, "x/_version.py"), (10, "data/rows.CSV")]
-
-
 def noise_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_PATHS, "id int, path string")
+    rows = generated.frame(spark, sf_dir, "paths")
     return rows.select("id", T.is_noise_path(F.col("path")).alias("noise"))
 
 
@@ -61,7 +59,7 @@ def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def convert_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return converters.fix_samples(spark.createDataFrame(converters.EXAMPLE_FIXES, converters.FIX_SCHEMA))
+    return converters.fix_samples(generated.frame(spark, sf_dir, "fixes"), emit_fixed=True)
 
 
 def convert_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +75,7 @@ def convert_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return converters.manifest_violations(spark.createDataFrame(converters.EXAMPLE_MANIFEST, converters.MANIFEST_SCHEMA))
+    return converters.manifest_violations(generated.frame(spark, sf_dir, "manifest"))
 
 
 def pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +90,7 @@ def pair_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_quality_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return converters.pair_histogram(samples(spark, sf_dir).filter("slm < 0.25 or slm >= 0.5"), "slm")
+    return converters.pair_histogram(samples(spark, sf_dir), "slm")
 
 
 def commit_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,19 +113,10 @@ def benign_reshape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return converters.benign_samples(samples(spark, sf_dir).filter("label = 0").select("sample_id", "project", "cwe"))
 
 
-def benchmark_overlap(spark: SparkSession, sf_dir: str, block: int = 20) -> DataFrame:
-    """Benchmark items of 2 * block characters or more whose text a document holds whole.
-
-    A document is cut into blocks; wherever an item stands, one of the blocks lies inside it, less than a block after
-    its beginning. So an item is keyed by its substrings at the first `block` offsets, and no document meets every item."""
-    at = F.sequence(F.lit(1), F.lit(block))
-    items = table(spark, sf_dir, "benchmark").filter(F.length("text") >= 2 * block).select("item_id", F.col("text").alias("item"))
-    keys = items.select("item_id", "item", F.explode(F.transform(at, lambda i: F.xxhash64(F.substring(F.col("item"), i, F.lit(block))))).alias("key"))
-    docs = table(spark, sf_dir, "documents").filter(F.length("text") >= 2 * block)
-    starts = F.sequence(F.lit(1), F.length("text") - (block - 1), F.lit(block))
-    blocks = docs.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(block)))))).alias("key"))
-    hits = blocks.join(keys, "key").select("doc_id", "item_id", "item").distinct()
-    return hits.join(docs.select("doc_id", "text"), "doc_id").filter(F.col("text").contains(F.col("item"))).select("doc_id", "item_id").distinct()
+def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items, but empty ones, whose text a document holds whole."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    return similarity.contained(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
 
 
 def exact_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +127,7 @@ def exact_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changed_line_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return converters.pair_changes(spark.createDataFrame(converters.EXAMPLE_PAIRS, "id int, vuln string, fixed string"))
+    return converters.pair_changes(generated.frame(spark, sf_dir, "pairs"))
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -159,12 +148,12 @@ def near_dup_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of contradictory and near-duplicate rows, and whether training may start (both below 5 %)."""
+    """Shares of contradictory and near-duplicate rows (of any language), and whether training may start (both below 5 %)."""
     d = labelled(spark, sf_dir)
     safe, vulnerable = _sides(spark, sf_dir)
     n, n_safe = d.count(), max(1, safe.count())
     bad = n - curation.drop_contradictory(d).count()
-    near = n_safe - similarity.drop_similar(safe, vulnerable, 0.9, ["lang"]).count()
+    near = n_safe - similarity.drop_similar(safe, vulnerable, 0.9, []).count()
     shares = (round(bad / max(1, n), 6), round(near / n_safe, 6))
     return spark.createDataFrame([(*shares, max(shares) < 0.05)], "contradictory double, near_duplicate double, allowed boolean")
 
@@ -195,27 +184,27 @@ ORACLES = {
     "normalize_text": f"SELECT doc_id, md5({D.normalise('text')}) AS norm_md5, length({D.normalise('text')}) AS norm_chars, len({D.lines('text')}) AS n_lines FROM documents",
     "tokens": f"WITH t AS (SELECT doc_id, {D.tokens('text')} AS t FROM documents) SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM t",
     "signal_lines": f"WITH t AS (SELECT doc_id, {D.signal_lines('text')} AS signal FROM documents) SELECT doc_id, signal, signal >= 2 AS kept FROM t",
-    "noise_paths": f"WITH p(id, path) AS ({D.values(_PATHS)}) SELECT id, {D.noise_path('path')} AS noise FROM p",
+    "noise_paths": f"WITH p AS ({generated.sql('paths')}) SELECT id, {D.noise_path('path')} AS noise FROM p",
     "contradictions": f"WITH {_N}, {_C} SELECT md5(norm) AS norm_md5 FROM c",
     "drop_contradictory": f"WITH {_N}, {_C} SELECT doc_id, label FROM n WHERE norm NOT IN (SELECT norm FROM c)",
     "first_wins_dedup": f"WITH {_N}, {_F} SELECT doc_id, {_FATE} AS fate FROM f",
     "skip_reasons": f"WITH {_N}, {_F} SELECT CASE WHEN lang NOT IN ('en', 'de') THEN 'language' WHEN {D.signal_lines('text')} < 2 THEN 'low_signal' WHEN {_FATE} <> 'kept' THEN {_FATE} ELSE 'added' END AS reason, count(*) AS n FROM f GROUP BY 1",
-    "convert_fixes": converters.fix_samples_sql(),
+    "convert_fixes": converters.fix_samples_sql(generated.sql("fixes")),
     "convert_line_labels": f"""WITH t AS (SELECT conv_id, turn, text, CASE WHEN length(text) > 120 THEN 1 ELSE 0 END AS label, role FROM conversations),
 k AS (SELECT conv_id, role, count(*) AS n, min(turn) AS pos FROM t WHERE label = 1 GROUP BY conv_id, role), m AS (SELECT conv_id, first(role ORDER BY n DESC, pos) AS kind FROM k GROUP BY conv_id),
 a AS (SELECT conv_id, max(label) AS label, string_agg(text, chr(10) ORDER BY turn, role, text) AS src FROM t GROUP BY conv_id)
 SELECT conv_id, CAST(label AS INTEGER) AS label, coalesce(kind, 'unknown') AS vulnerability_type, md5({D.strip('src')}) AS source_md5 FROM a LEFT JOIN m USING (conv_id) WHERE {D.strip('src')} <> ''""",
-    "manifest_violations": converters.manifest_violations_sql(),
+    "manifest_violations": converters.manifest_violations_sql(generated.sql("manifest")),
     "pair_join": f"WITH {_N}, t AS (SELECT lang, norm, max(doc_id) AS safe_id FROM n WHERE label = 1 GROUP BY lang, norm) SELECT doc_id AS vuln_id, safe_id, safe_id IS NOT NULL AS paired FROM n LEFT JOIN t USING (lang, norm) WHERE label = 0",
     "pair_quality_report": f"""WITH {S} SELECT count(*) AS pairs, round(avg(CASE WHEN slm = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS trivial_share, round(avg(CASE WHEN slm > 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS substantial_share,
 round(avg(slm), 6) AS mean_ratio, list_sort(list(slm))[count(*) // 2 + 1] AS median_ratio FROM s""",
     "pair_quality_histogram": f"""WITH {S}, b(bucket, lo, hi) AS (VALUES ('0-10%', 0.0::DOUBLE, 0.1::DOUBLE), ('10-25%', 0.1, 0.25), ('25-50%', 0.25, 0.5), ('50-75%', 0.5, 0.75), ('75-100%', 0.75, 2))
-SELECT bucket, count(s.slm) AS n FROM b LEFT JOIN s ON s.slm >= lo AND s.slm < hi AND (s.slm < 0.25 OR s.slm >= 0.5) GROUP BY bucket""",
+SELECT bucket, count(s.slm) AS n FROM b LEFT JOIN s ON s.slm >= lo AND s.slm < hi GROUP BY bucket""",
     "commit_breadth": "WITH f AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS files FROM lineitem GROUP BY l_orderkey) SELECT count(*) AS commits, round(avg(files), 3) AS mean_files, max(files) AS max_files, count(*) FILTER (files > 1) AS multi_file FROM f",
     "candidate_order": """WITH x AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS sibling, (42 + ('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8))::BIGINT) & 2147483647 AS seed FROM lineitem),
 y AS (SELECT *, md5(seed || '|' || l_linenumber) AS key FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY sibling DESC, key, l_linenumber) AS rank FROM y)
 SELECT l_orderkey, l_linenumber, sibling, seed, rank FROM z WHERE rank <= 2 ORDER BY key, l_orderkey, l_linenumber LIMIT 200""",
     "benign_reshape": f"""WITH {S} SELECT 'benign_' || substr(sha256('benign|' || sample_id), 1, 16) AS sample_id, 'benign::' || project AS project, 0 AS label, 'none' AS vulnerability_type, 'benign_control' AS sample_subtype, 1 AS start_line FROM s WHERE label = 0""",
-    "benchmark_overlap": "SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON length(b.text) >= 40 AND contains(d.text, b.text)",
+    "benchmark_overlap": "SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text)",
     "exact_dup_pairs": "SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) WHERE doc_id <> first_id",
 }

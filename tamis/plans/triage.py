@@ -51,7 +51,7 @@ def hunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.filter("n > 1 AND start_line <= 6 AND end_line >= 4").select("doc_id", "chunk_index")
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with a synthetic probability to four decimals."""
     p = ((F.col("doc_id") * 31 + F.length("text") * 7919) % 10000).cast("double") / 10000
     return _chunks(spark, sf_dir).withColumn("prob", p)
@@ -59,19 +59,19 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_score_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximum and mean of each document's chunk scores, 0 without chunks."""
-    scores = _scored(spark, sf_dir).groupBy("doc_id").agg(F.max("prob").alias("mx"), F.avg("prob").alias("mean"))
+    scores = scored_chunks(spark, sf_dir).groupBy("doc_id").agg(F.max("prob").alias("mx"), F.avg("prob").alias("mean"))
     return table(spark, sf_dir, "documents").select("doc_id").join(scores, "doc_id", "left").select("doc_id", F.coalesce("mx", F.lit(0.0)).alias("max_score"), F.round(F.coalesce("mean", F.lit(0.0)), 6).alias("mean_score"))
 
 
 def topk_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy(F.col("prob").desc(), "chunk_index")
-    return _scored(spark, sf_dir).withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("doc_id", "rank", "chunk_index", "prob")
+    return scored_chunks(spark, sf_dir).withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("doc_id", "rank", "chunk_index", "prob")
 
 
 def triage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per sample: score from its chunks, risk, escalation and, if escalated, its five most suspicious chunks."""
     s = samples(spark, sf_dir).select(F.col("sample_id").alias("doc_id"), "sev")
-    c = _scored(spark, sf_dir)
+    c = scored_chunks(spark, sf_dir)
     w = Window.partitionBy("doc_id").orderBy(F.col("prob").desc(), "chunk_index")
     top = c.withColumn("r", F.row_number().over(w)).groupBy("doc_id").agg(F.max("prob").alias("score"), F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", "chunk_index")))).alias("t"))
     j = s.join(top, "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
@@ -192,14 +192,14 @@ sa AS (SELECT conv_id || '-' || turn AS sample_id, conv_id AS file, turn * 10 AS
 fi AS (SELECT conv_id AS file, turn * 10 + n % 17 AS s, turn * 10 + n % 17 + n % 5 AS e, n % 3 AS sv, turn AS ord FROM c WHERE n % 4 <> 0)"""
 
 
-def _chunks_sql(size: int, overlap: int) -> str:
+def chunk_oracle(size: int, overlap: int) -> str:
     stride = size - overlap
     return f"""l AS (SELECT doc_id, {D.lines('text')} AS ls FROM documents), p AS (SELECT doc_id, ls, len(ls) AS n, unnest(generate_series(0, CAST(ceil(greatest(0, len(ls) - {size}) / {stride}.0) AS BIGINT))) AS k FROM l WHERE len(ls) > 0),
 q AS (SELECT doc_id, n, k * {stride} + 1 AS start_line, least(k * {stride} + {size}, n) AS end_line, ls[k * {stride} + 1 : k * {stride} + {size}] AS part FROM p),
 ch AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_line) - 1 AS chunk_index, start_line, end_line, array_to_string(part, chr(10)) AS text FROM q WHERE n <= {size} OR len(list_filter(part, lambda l: {D.has_signal('l')})) >= 2)"""
 
 
-_CH = _chunks_sql(8, 2)
+_CH = chunk_oracle(8, 2)
 _SC = f"{_CH}, sc AS (SELECT *, CAST((doc_id * 31 + length(text) * 7919) % 10000 AS DOUBLE) / 10000 AS prob FROM ch), rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY prob DESC, chunk_index) AS r FROM sc)"
 _REPORT = f"""{S}, {_SC}, tp AS (SELECT doc_id, max(prob) AS score, string_agg(CAST(chunk_index AS VARCHAR), ',' ORDER BY r) FILTER (r <= 5) AS t FROM rk GROUP BY doc_id),
 j AS (SELECT sample_id AS doc_id, coalesce(score, 0) AS score, round(0.4::DOUBLE * sev + 0.6::DOUBLE * coalesce(score, 0), 4) AS risk, t FROM s LEFT JOIN tp ON tp.doc_id = s.sample_id),
@@ -224,7 +224,7 @@ ORACLES = {
 b AS (SELECT sample_id, first(sv ORDER BY sv DESC, ord) AS sv FROM h GROUP BY sample_id) SELECT sample_id, CASE sv WHEN 0 THEN 'INFO' WHEN 1 THEN 'WARNING' WHEN 2 THEN 'ERROR' ELSE 'NONE' END AS severity FROM sa LEFT JOIN b USING (sample_id)""",
     "point_in_interval": f"WITH {_RANGES} SELECT DISTINCT sample_id FROM sa JOIN fi ON sa.file = fi.file AND fi.s BETWEEN sa.s AND sa.e",
     "chunk_documents": f"WITH {_CH} SELECT doc_id, chunk_index::INTEGER AS chunk_index, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line, md5(text) AS text_md5 FROM ch",
-    "chunk_documents_default": f"WITH {_chunks_sql(64, 8)} SELECT doc_id, chunk_index::INTEGER AS chunk_index, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line, md5(text) AS text_md5 FROM ch",
+    "chunk_documents_default": f"WITH {chunk_oracle(64, 8)} SELECT doc_id, chunk_index::INTEGER AS chunk_index, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line, md5(text) AS text_md5 FROM ch",
     "hunk_overlap": f"WITH {_CH}, m AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS cnt FROM ch) SELECT doc_id, chunk_index::INTEGER AS chunk_index FROM m WHERE cnt > 1 AND start_line <= 6 AND end_line >= 4",
     "chunk_score_agg": f"WITH {_SC}, a AS (SELECT doc_id, max(prob) AS mx, avg(prob) AS mean FROM sc GROUP BY doc_id) SELECT d.doc_id, coalesce(mx, 0) AS max_score, round(coalesce(mean, 0), 6) AS mean_score FROM documents d LEFT JOIN a USING (doc_id)",
     "topk_chunks": f"WITH {_SC} SELECT doc_id, r::INTEGER AS rank, chunk_index::INTEGER AS chunk_index, prob FROM rk WHERE r <= 5",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that hold QUERIES (name -> query) and ORACLES (name -> DuckDB SQL).
-MODULES: tuple[str, ...] = ("gate", "curation", "triage", "code")
+MODULES: tuple[str, ...] = ("gate", "curation", "triage", "code", "reports")
 
 
 def _gather(attribute: str) -> dict:

@@ -59,7 +59,7 @@ def read_findings(spark: SparkSession, path: str, default_severity: str = "WARNI
 
 def read_sources(spark: SparkSession, root: str, excluded: tuple[str, ...] = ("tests", "workspace_storage", "venv"), suffix: str = "*.py") -> DataFrame:
     """(file, source, sha256) of the files below `root`, by path relative to it, without excluded folders."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", suffix).text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=suffix)
     rows = files.select(F.regexp_replace(F.col("_metadata.file_path"), "^.*" + root.strip("/").replace(".", r"\.") + "/", "").alias("file"), F.col("value").alias("source"))
     for folder in excluded:
         rows = rows.filter(~F.startswith("file", F.lit(folder + "/")))
@@ -99,3 +99,48 @@ def append_embeddings(store_path: str, rows: DataFrame, keys: tuple[str, ...] =
 def write_report(report: DataFrame, path: str) -> None:
     """Nested findings, a JSON object a line."""
     report.write.mode("overwrite").json(path)
+
+
+def read_first(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The first whole Parquet table of `paths`, local copies before remote ones; FileNotFoundError if there is none."""
+    for path in paths:
+        if _exists(spark, path):
+            return spark.read.parquet(path)
+    raise FileNotFoundError(f"no table at {paths}")
+
+
+# Folder names that are vulnerability types, and parts of a path that mark label 1.
+VULNERABILITY_TYPES = ("sql", "xss", "command", "xsrf", "remote_code_execution", "path_disclosure", "open_redirect")
+UNSAFE_PARTS = ("vul", "unsafe")
+# End of fixed values.
+
+
+def read_labelled_files(spark: SparkSession, root: str) -> DataFrame:
+    """(file, raw_lines, label, type), one row per *.py file below `root`, or per *.txt file if there is none: type from
+    the parent folder's name, label from the whole path, both repeated for each line."""
+    from tamis.functions.text import lines
+
+    def found(pattern: str) -> DataFrame:
+        files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+        return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+
+    files = found("*.py")
+    if files.isEmpty():
+        files = found("*.txt")
+    parent = F.lower(F.element_at(F.split("file", "/"), -2))
+    kind = F.when(parent.isin(*VULNERABILITY_TYPES), parent).otherwise("unknown")
+    unsafe = F.lit(False)
+    for part in UNSAFE_PARTS:
+        unsafe |= F.lower("file").contains(part)
+    rows = files.select("file", lines(F.col("text")).alias("raw_lines"), unsafe.cast("int").alias("y"), kind.alias("kind"))
+    return rows.select("file", "raw_lines", F.transform("raw_lines", lambda _: F.col("y")).alias("label"), F.transform("raw_lines", lambda _: F.col("kind")).alias("type"))
+
+
+def write_evaluation(summary: DataFrame, findings: DataFrame, folder: str) -> None:
+    """summary (a row per variant, the metrics as columns) as JSON and as a Markdown table, findings as JSON lines."""
+    spark = summary.sparkSession
+    summary.coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
+    findings.write.mode("overwrite").json(f"{folder}/detailed_findings")
+    rows = summary.collect()  # a row per variant
+    table = [summary.columns, ["-"] * len(summary.columns), *([str(v) for v in r] for r in rows)]
+    spark.createDataFrame([("\n".join("| " + " | ".join(r) + " |" for r in table),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/report")
