@@ -1,13 +1,14 @@
 """Mixing sources to target weights by iterative proportional fitting (DataFrame functions only).
 
-Documents fall into cells of (source, language, topic). The cells' token sums are raked: scaled in turn so that the
-sums by source, by language and by topic meet their targets, for a fixed number of rounds. The targets default to
-tempered shares, (tokens ** temperature) normalised, and can be given per value. Each cell's ratio of raked to present
-tokens becomes a sampling probability min(1, f * ratio), with f solved so that the expected tokens are `fraction` of
-all tokens; a document is sampled if a uniform number made from the MD5 of its id is below its cell's probability.
+Documents fall into cells of (source, language, topic). The cells' expected sampled tokens start at `fraction` of their
+tokens and are raked: scaled in turn so that the sums by source, by language and by topic meet their targets, and cut at
+the tokens that a cell has, so that what one cell cannot give the others of its row give in the next round. After a
+fixed number of rounds a cell's sampling probability is its raked tokens over its tokens, never above 1. The targets
+default to tempered shares, (tokens ** temperature) normalised, and can be given per value. Targets that the tokens
+cannot meet are missed; `residuals` reports target and expected share of every value.
 
 Tokens are white-space separated words of the whole text. Null texts have none; null sources, languages and topics
-count as the empty string; a document without tokens in a cell without tokens is sampled with probability 1. Values
+count as the empty string; a document in a cell without tokens is sampled with probability 1. Values
 with a target but no tokens are left out and the rest is rescaled. Repeated rows share one fate. Documents keep all
 their columns.
 
@@ -20,10 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.llm.common import materialize
+from tamis.llm.common import discard, materialize
 
 SMALL_CELLS = 50_000
-ROUNDS, ROUNDS_PER_JOB = 10, 2
+ROUNDS, ROUNDS_PER_JOB = 20, 4
 KEYS = ("source", "lang", "topic")
 #: A cell's probability has this many decimals.
 DECIMALS = 9
@@ -33,9 +34,8 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def form_topic(text: Column, tokens: Column) -> Column:
-    """The topic where the documents carry none: the form of the text."""
-    bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
+def form_topic(bars: Column, tokens: Column) -> Column:
+    """The topic where the documents carry none: the form of the text, by its bars and its tokens."""
     return F.when(5 * bars > tokens, "table").when(tokens < 100, "note").when(tokens < 1000, "article").otherwise("long")
 
 
@@ -45,11 +45,14 @@ def uniform(id_: Column) -> Column:
 
 
 def with_cells(docs: DataFrame, text_col: str = "text", topic: Column | None = None) -> DataFrame:
-    """`docs` and _source, _lang, _topic, _tokens."""
-    docs = docs.withColumn("_tokens", token_count(F.col(text_col)))
-    topic = form_topic(F.coalesce(F.col(text_col), F.lit("")), F.col("_tokens")) if topic is None else topic
-    named = {f"_{k}": F.coalesce(F.col(k).cast("string"), F.lit("")) for k in ("source", "lang")}
-    return docs.withColumns(named | {"_topic": F.coalesce(topic.cast("string"), F.lit(""))})
+    """_row, a struct of the columns of `docs`, and _source, _lang, _topic, _tokens beside it."""
+    tokens, text = token_count(F.col(text_col)), F.coalesce(F.col(text_col), F.lit(""))
+    named = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{k}") for k in ("source", "lang")]
+    if topic is not None:
+        return docs.select(F.struct("*").alias("_row"), *named, F.coalesce(topic.cast("string"), F.lit("")).alias("_topic"), tokens.alias("_tokens"))
+    bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
+    plain = docs.select(F.struct("*").alias("_row"), *named, bars.alias("_bars"), tokens.alias("_tokens"))
+    return plain.withColumn("_topic", form_topic(F.col("_bars"), F.col("_tokens"))).drop("_bars")
 
 
 def _targets(cells: DataFrame, key: str, given: dict[str, float] | None, temperature: float) -> DataFrame:
@@ -66,60 +69,63 @@ def _targets(cells: DataFrame, key: str, given: dict[str, float] | None, tempera
     return sums.select(f"_{key}", (F.col("want") / all_want if all_want > 0 else F.lit(0.0)).alias(f"{key}_share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temperature: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
-    """`cells` (_source, _lang, _topic, tokens) and w, the raked tokens."""
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temperature: float = 0.5, rounds: int = ROUNDS, fraction: float = 0.5) -> DataFrame:
+    """`cells` (_source, _lang, _topic, tokens), the shares wanted of their values, and w, the expected sampled tokens."""
     small = cells.count() <= SMALL_CELLS
     place = (lambda x: x.repartition(1)) if small else (lambda x: x)
-    state = cells.withColumn("w", F.col("tokens").cast("double"))
+    state = cells.withColumn("w", F.col("tokens").cast("double") * F.lit(float(fraction)))
     for key in KEYS:
         share = _targets(cells, key, (targets or {}).get(key), temperature)
         state = state.join(F.broadcast(share) if small else share, f"_{key}")
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    state = materialize(place(state.withColumn("total", F.lit(total))), "rake")
+    goal = float(cells.agg(F.sum("tokens")).first()[0] or 0) * float(fraction)
+    state = materialize(place(state), "rake")
     for k in range(rounds):
         state = place(state) if k % ROUNDS_PER_JOB == 0 else state
         for key in KEYS:
             now = F.sum("w").over(Window.partitionBy(f"_{key}"))
-            state = state.withColumn("_now", now).withColumn("w", F.when(F.col("_now") > 0, F.col("w") * (F.col(f"{key}_share") * F.col("total")) / F.col("_now")).otherwise(0.0)).drop("_now")
+            scaled = F.least(F.col("tokens").cast("double"), F.col("w") * (F.col(f"{key}_share") * F.lit(goal)) / F.col("_now"))
+            state = state.withColumn("_now", now).withColumn("w", F.when(F.col("_now") > 0, scaled).otherwise(0.0)).drop("_now")
         if k % ROUNDS_PER_JOB == ROUNDS_PER_JOB - 1 or k == rounds - 1:
-            state = materialize(state, "rake")
+            before, state = state, materialize(state, "rake")
+            discard(before)
     return state
 
 
-def calibrate(raked: DataFrame, fraction: float = 0.5) -> DataFrame:
-    """(_source, _lang, _topic, tokens, w, p): p = min(1, f * w / tokens) with expected tokens = fraction * total.
+def calibrate(raked: DataFrame) -> DataFrame:
+    """(_source, _lang, _topic, tokens, w, p): p = w / tokens."""
+    p = F.when(F.col("tokens") == 0, 1.0).otherwise(F.round(F.col("w") / F.col("tokens"), DECIMALS))
+    return raked.select("_source", "_lang", "_topic", "tokens", "w", p.alias("p"))
 
-    The k cells of the highest ratio that saturate at 1 are found by running sums over the cells in order of ratio."""
-    ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0)
-    order = Window.orderBy(F.col("_ratio").desc(), "_source", "_lang", "_topic")
-    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    cells = raked.withColumn("_ratio", ratio)
-    runs = cells.withColumn("_f", (F.col("total") * fraction - F.coalesce(F.sum("tokens").over(before), F.lit(0))) / F.sum("w").over(rest))
-    # the first cell, in that order, that its factor leaves below 1; null if none is
-    f = runs.filter((F.col("w") > 0) & (F.col("_f") * F.col("_ratio") <= 1) & (F.col("_f") >= 0)).agg(F.max_by("_f", "_ratio")).first()[0]
-    below = F.when(F.col("w") > 0, 1.0).otherwise(0.0) if f is None else F.least(F.lit(1.0), F.lit(f) * F.col("_ratio"))
-    p = F.when(F.col("tokens") == 0, 1.0).otherwise(below)
-    return cells.select("_source", "_lang", "_topic", "tokens", "w", F.round(p, DECIMALS).alias("p"))
+
+def residuals(raked: DataFrame) -> DataFrame:
+    """(key, value, target, expected): the share wanted of each value and that of the expected sampled tokens."""
+    out, every = None, raked.agg(F.sum("w")).first()[0] or 1.0
+    for key in KEYS:
+        rows = raked.groupBy(F.col(f"_{key}").alias("value")).agg(F.max(f"{key}_share").alias("target"), (F.sum("w") / F.lit(every)).alias("expected"))
+        rows = rows.select(F.lit(key).alias("key"), "value", "target", "expected")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def cell_probabilities(celled: DataFrame, targets: dict[str, dict[str, float]] | None = None, fraction: float = 0.5, temperature: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
     cells = materialize(celled.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens")), "cells")
-    return calibrate(rake(cells, targets, temperature, rounds), fraction)
+    return calibrate(rake(cells, targets, temperature, rounds, fraction))
 
 
-def with_probability(celled: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def with_probability(celled: DataFrame, id_: Column, **options) -> DataFrame:
     """`celled` and _p, _sampled."""
     p = materialize(cell_probabilities(celled, **options).select("_source", "_lang", "_topic", F.col("p").alias("_p")), "probabilities")
     p = F.broadcast(p) if p.count() <= SMALL_CELLS else p
-    return celled.join(p, ["_source", "_lang", "_topic"]).withColumn("_sampled", uniform(F.col(id_col)) < F.col("_p"))
+    return celled.join(p, ["_source", "_lang", "_topic"]).withColumn("_sampled", uniform(id_) < F.col("_p"))
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, **options) -> DataFrame:
     """(id, source, lang, topic, n_tokens, p, sampled) of every document."""
-    celled = materialize(with_cells(docs, text_col, topic).select(id_col, "_source", "_lang", "_topic", "_tokens"), "mixing")
-    return with_probability(celled, id_col, **options).select(id_col, F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_p").alias("p"), F.col("_sampled").alias("sampled"))
+    celled = materialize(with_cells(docs, text_col, topic).select(F.col("_row")[id_col].alias("_id"), "_source", "_lang", "_topic", "_tokens"), "mixing")
+    found = with_probability(celled, F.col("_id"), **options)
+    return found.select(F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_p").alias("p"), F.col("_sampled").alias("sampled"))
 
 
 def sample_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, **options) -> DataFrame:
     """The sampled rows of `docs`, with its columns."""
-    return with_probability(with_cells(docs, text_col, topic), id_col, **options).filter("_sampled").select(*docs.columns)
+    return with_probability(with_cells(docs, text_col, topic), F.col("_row")[id_col], **options).filter("_sampled").select("_row.*")

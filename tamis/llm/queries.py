@@ -71,7 +71,7 @@ def _mixing_sql(fraction: float = 0.5, rounds: int = mixing.ROUNDS) -> str:
     steps, last = [], "c0"
     for k in range(rounds):
         for key in ("source", "lang", "topic"):
-            steps.append(f"r{k}_{key} AS (SELECT * REPLACE (CASE WHEN now > 0 THEN w * ({key}_share * total) / now ELSE 0 END AS w) FROM (SELECT * EXCLUDE (now), sum(w) OVER (PARTITION BY {key}) AS now FROM {last}))")
+            steps.append(f"r{k}_{key} AS (SELECT * REPLACE (CASE WHEN now > 0 THEN least(CAST(tokens AS DOUBLE), w * ({key}_share * (total * CAST({fraction} AS DOUBLE))) / now) ELSE 0 END AS w) FROM (SELECT * EXCLUDE (now), sum(w) OVER (PARTITION BY {key}) AS now FROM {last}))")
             last = f"r{k}_{key}"
     shares = ", ".join(f"s_{k} AS (SELECT {k}, w / sum(w) OVER () AS {k}_share FROM (SELECT {k}, sqrt(sum(tokens)) AS w FROM c GROUP BY {k}))" for k in ("source", "lang", "topic"))
     return rf"""
@@ -79,12 +79,9 @@ WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS
 e AS (SELECT *, CASE WHEN 5 * (length(text) - length(replace(text, '|', ''))) > n_tokens THEN 'table' WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 1000 THEN 'article' ELSE 'long' END AS topic FROM d),
 c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM e GROUP BY ALL),
 {shares},
-c0 AS (SELECT *, tokens AS w, sum(tokens) OVER () AS total, CAST(0 AS DOUBLE) AS now FROM c JOIN s_source USING (source) JOIN s_lang USING (lang) JOIN s_topic USING (topic)),
+c0 AS (SELECT *, tokens * CAST({fraction} AS DOUBLE) AS w, sum(tokens) OVER () AS total, CAST(0 AS DOUBLE) AS now FROM c JOIN s_source USING (source) JOIN s_lang USING (lang) JOIN s_topic USING (topic)),
 {", ".join(steps)},
-x AS (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS ratio FROM {last}),
-y AS (SELECT *, (total * {fraction} - coalesce(sum(tokens) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM x),
-z AS (SELECT max_by(f, ratio) AS f FROM y WHERE w > 0 AND f * ratio <= 1 AND f >= 0),
-p AS (SELECT source, lang, topic, round(CASE WHEN tokens = 0 THEN 1 WHEN z.f IS NULL THEN CASE WHEN w > 0 THEN 1 ELSE 0 END ELSE least(1.0, z.f * ratio) END, {mixing.DECIMALS}) AS p FROM x, z)
+p AS (SELECT source, lang, topic, CASE WHEN tokens = 0 THEN 1 ELSE round(w / tokens, {mixing.DECIMALS}) END AS p FROM {last})
 SELECT doc_id, source, lang, topic, n_tokens, p, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 < p AS sampled FROM e JOIN p USING (source, lang, topic)"""
 
 
