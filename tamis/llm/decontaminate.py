@@ -7,9 +7,10 @@ candidate at the window's offset, if the window fits between the document's ends
 and is verified word by word. Words of the document inside a verified window are hit.
 
 Words are runs of A-Z (lower-cased), 0-9 and non-ASCII characters. A null or empty text has no words and no hits.
-Repeated items and item ids count once; null item ids are left out; repeated documents stay repeated.
+Repeated items and item ids count once; items with a null id hit words but are not listed; repeated documents stay
+repeated.
 
-The benchmark is read in blocks of at most `block_bytes` of text (dealt by a hash of the item's id), one index each;
+The benchmark is read in blocks of at most `block_bytes` of text (dealt by a hash of the item), one index each;
 an index of that bounded size is broadcast, and the spans of further blocks are merged by (id, text digest).
 """
 
@@ -39,13 +40,13 @@ def words_of(text: str | None) -> list[bytes]:
 Index = dict[bytes, list[tuple[int, int, dict[tuple[bytes, ...], tuple[str, ...]]]]]
 
 
-def windows_of(items: list[tuple[str, str | None]], size: int = WINDOW) -> dict[tuple[bytes, ...], tuple[str, ...]]:
+def windows_of(items: list[tuple[str | None, str | None]], size: int = WINDOW) -> dict[tuple[bytes, ...], tuple[str, ...]]:
     """The items' windows, each with the ids of the items that hold it."""
     found: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
     for item, text in items:
         words = words_of(text)
         for i in range(max(1, len(words) - size + 1) if words else 0):
-            found[tuple(words[i : i + size])].add(item)
+            found[tuple(words[i : i + size])].update(() if item is None else (item,))
     return {w: tuple(sorted(ids)) for w, ids in found.items()}
 
 
@@ -64,7 +65,7 @@ def find_spans(words: list[bytes], index: Index) -> tuple[list[tuple[int, int]],
     for i in [i for i, w in enumerate(words) if w in index]:
         for offset, n, windows in index[words[i]]:
             start = i - offset
-            if start >= 0 and start + n <= len(words) and (ids := windows.get(tuple(words[start : start + n]))):
+            if start >= 0 and start + n <= len(words) and (ids := windows.get(tuple(words[start : start + n]))) is not None:
                 found.append((start, start + n))
                 items.update(ids)
     return merge_spans(found), items
@@ -118,11 +119,11 @@ def _probe(docs: DataFrame, index: Index, id_col: str, text_col: str, hits_only:
 
 def block_indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, size: int, block_bytes: int) -> list[Index]:
     """One index per block of the benchmark."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter(F.col("item").isNotNull() & F.col("text").isNotNull())
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter(F.col("text").isNotNull())
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     out = []
     for k in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()  # a block of bounded size
+        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # a block of bounded size
         windows = windows_of([(r.item, r.text) for r in rows], size)
         out.append(build_index(windows, vocabulary_counts(docs, {w for x in windows for w in x}, text_col) if windows else {}))
     return out
@@ -190,7 +191,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     digests = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
     texts = docs.select(digests.alias("_digest"), F.col(text_col).alias("_text"))
     bad = find_contamination(texts, benchmark, "_digest", "_text", item_col, item_text_col, size, block_bytes).filter(contaminated()).select("_digest").distinct()
-    return docs.withColumn("_digest", digests).join(bad, "_digest", "left_anti").select(*docs.columns)
+    return docs.select(F.struct("*").alias("_row"), digests.alias("_digest")).join(bad, "_digest", "left_anti").select("_row.*")
 
 
 def _is_contaminated(words: list[bytes], index: Index) -> bool:

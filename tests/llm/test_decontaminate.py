@@ -21,11 +21,11 @@ def brute(docs, items, size=13):
         for item, t in items:
             x = words(t)
             n = min(size, len(x))
-            for k in range(len(x) - n + 1 if n and item is not None else 0):
+            for k in range(len(x) - n + 1 if n else 0):
                 for p in range(len(w) - n + 1):
                     if w[p : p + n] == x[k : k + n]:
                         hit.update(range(p, p + n))
-                        found.add(str(item))
+                        found.update(() if item is None else (str(item),))
         out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out, key=str)
 
@@ -73,3 +73,12 @@ def test_empty_tables(spark):
     assert D.find_contamination(d, b).collect() == []
     one, _ = frames(spark, [(1, "a b")], [])
     assert [tuple(r)[:4] for r in D.digest(D.find_contamination(one, b)).collect()] == [(1, 2, 0, 0)]
+
+
+def test_names_of_the_operator_may_clash(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, text, 5, 6), (2, "clean words", 5, 6)], "doc_id int, text string, _digest int, _row int")
+    items = spark.createDataFrame([(None, text), ("b", "other words that are long " * 5)], "item_id string, text string")
+    for block in (8_000_000, 60):
+        kept = D.drop_contaminated(docs, items, block_bytes=block)
+        assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "clean words", 5, 6)]
