@@ -8,7 +8,8 @@ from which a select walks less than one word of documents. `manifest` holds one
 that stand before it. Offsets in a block are relative to it, so that no table of 64-bit offsets is kept.
 
 Documents stand in ascending id order (nulls first; rows with the same id by their ids' bytes). A null text is empty.
-Every document ends with `end_id`. An empty table gives an empty store. Columns other than the two named are not read.
+Every document ends with `end_id`. An empty table gives an empty store. Ids are integers; a table with
+ids of another type is refused with a TypeError. Columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tamis.llm.common import shuffle_partitions
 
@@ -260,7 +262,9 @@ _BLOCK_SCHEMA = "part int, seq int, base long, n_docs int, n_ids long, width int
 
 def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
     """Tokenize whole texts and write the store. One shuffle, of ids, to parts of consecutive documents."""
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} must hold integers, not {kind.simpleString()}")
     parts = parts or shuffle_partitions(spark)
     cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [(k + 1) / parts for k in range(parts - 1)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(cuts)) if parts > 1 else []

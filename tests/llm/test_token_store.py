@@ -31,7 +31,7 @@ def test_chunks_encode_like_whole_texts():
     texts = [t or "" for t in TEXTS]
     expected = [np.array(x.ids + [2], "<u4").tobytes() for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert encoder.encode(texts) == expected == encoder.encode(texts)
-    encoder.by_piece, encoder.cache = False, {"": b""}
+    encoder.by_piece, encoder.cache = False, T._Cache(10)
     assert encoder.encode(texts) == expected
 
 
@@ -64,3 +64,19 @@ def test_blocks_close_by_size(spark, monkeypatch):
     docs = pd.DataFrame({"part": [0] * 7 + [1] * 2, "id": range(9), "none": False, "ids": [T.pack(np.arange(k + 1, dtype="<u4").tobytes()) for k in range(9)]})
     blocks = pd.concat(list(T._blocks(iter([docs]))))
     assert blocks["n_docs"].tolist() == [3, 3, 1, 2] and blocks["base"].tolist() == [0, 6, 21, 0]
+
+
+def test_string_ids_are_refused(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    with pytest.raises(TypeError):
+        T.write_store(docs, str(tmp_path / "s"), "none", 2)
+
+
+def test_cache_keeps_what_returns():
+    cache = T._Cache(4)
+    for wanted in ({"a", "b"}, {"a", "c"}, {"d", "e"}):
+        new = cache.missing(wanted)
+        cache.ids.update((x, x.encode()) for x in new)
+    assert "b" in cache.ids
+    cache.ids.update((x, x.encode()) for x in cache.missing({"a", "f"}))
+    assert set(cache.ids) == {"", "a", "f"}
