@@ -1,5 +1,8 @@
+import time
+
 import pytest
 
+from tamis.llm import html_extract
 from tamis.llm.html_extract import extract_pages, extract_text
 
 LONG = "A long paragraph with quite a lot of words, so that it clearly is the main text of this page and not a menu."
@@ -40,3 +43,32 @@ def test_pages_keep_their_rows_and_columns(spark):
 )
 def test_pages_without_an_article_keep_all_content(html, text):
     assert extract_text(html) == text
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<form id=aspnetForm><div><h1>T</h1><p>{LONG}</p></div></form>", f"T {LONG}"),
+        (f"<article><p class=ad-hoc>{LONG}</p><section class='related-work'>w</section><ul id=share-prices><li>x</ul><div class=ad-slot>y</div><div class='related-posts box'>z</div></article>", f"{LONG} w x"),
+    ],
+)
+def test_hints_are_no_more_than_that(html, text):
+    assert extract_text(html) == text
+
+
+PLAIN_MENU = "<div><ul>" + "".join(f"<li><a>Item {k}</a></li>" for k in range(12)) + "</ul></div>"
+STORY = ["A headline of the story", "A short first line.", *(f"{LONG} {k}" for k in range(6)), "A short last line."]
+PLAIN_PAGE = f"<body>{PLAIN_MENU}<div><h1>{STORY[0]}</h1>{''.join(f'<p>{x}</p>' for x in STORY[1:])}</div>{PLAIN_MENU}</body>"
+
+
+def test_pages_without_any_hint_are_cut_by_the_smoothed_ratios(monkeypatch):
+    assert extract_text(PLAIN_PAGE) == " ".join(STORY)
+    monkeypatch.setattr(html_extract, "smooth", lambda ratios, sigma=1.0: ratios)
+    assert extract_text(PLAIN_PAGE) != " ".join(STORY)
+
+
+def test_deep_pages_take_time_in_proportion():
+    for page in ("<div>" * 50_000 + "<p>text</p>" * 10, "<blockquote>" * 20_000 + "<p>text" * 20_000, "<div><p>x</span></i>" * 30_000):
+        began = time.process_time()
+        extract_text(page)
+        assert time.process_time() - began < 10
