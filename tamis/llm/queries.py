@@ -94,9 +94,10 @@ def _license_sql() -> str:
     category = " ".join(f"WHEN len(list_filter(licenses, lambda x: regexp_matches(x, '{p}'))) > 0 THEN '{name}'" for name, p in license_scan.CATEGORIES)
     return rf"""
 WITH k(t, name) AS (VALUES {values}),
-d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_replace(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{license_scan.CUT}', chr(10), 'g'), '{license_scan.OTHER}', ' ', 'g') AS t FROM documents),
-s AS (SELECT rn, trim(x, ' ') AS x, i FROM (SELECT rn, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)),
-f AS (SELECT rn, list(k.name ORDER BY i) AS ids FROM s JOIN k ON s.x = k.t GROUP BY rn),
+d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_replace(regexp_replace(regexp_replace(translate(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(13) || chr(11), 'abcdefghijklmnopqrstuvwxyz' || chr(10) || ' '), '{license_scan.VERSION}', '\1v \2', 'g'), '{license_scan.CUT}', chr(11), 'g'), '{license_scan.OTHER}', ' ', 'g') AS t FROM documents),
+s AS (SELECT rn, x, i, trim(regexp_replace(x, '[ \n]+', ' ', 'g'), ' ') AS whole FROM (SELECT rn, unnest(string_split(t, chr(11))) AS x, generate_subscripts(string_split(t, chr(11)), 1) AS i FROM d)),
+l AS (SELECT rn, i, trim(unnest(string_split(x, chr(10))), ' ') AS x, generate_subscripts(string_split(x, chr(10)), 1) AS j FROM s WHERE whole NOT IN (SELECT t FROM k)),
+f AS (SELECT rn, list(name ORDER BY i, j) AS ids FROM (SELECT rn, i, 0 AS j, name FROM s JOIN k ON s.whole = k.t UNION ALL SELECT rn, i, j, name FROM l JOIN k ON l.x = k.t) GROUP BY rn),
 m AS (SELECT rn, ids, list_sort(list_distinct(list_transform(list_filter(string_split({run}, '|'), lambda x: starts_with(x, '=')), lambda x: substr(x, 2)))) AS licenses FROM f)
 SELECT d.doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(array_to_string(licenses, ','), '') AS licenses,
        CASE WHEN coalesce(len(licenses), 0) = 0 THEN 'none' {category} ELSE 'permissive' END AS category

@@ -27,3 +27,33 @@ def test_empty_table(spark):
 def test_every_rule_uses_known_sentences():
     names = set(L.sentences().values())
     assert all(set(pattern) <= names for pattern, _ in L.rules())
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed"
+
+
+def test_wrapped_notices_and_tags(spark):
+    cases = [
+        (MIT, ["MIT"]), (MIT.replace("\n", "\r\n"), ["MIT"]), ("".join(f"# {x}\n" for x in MIT.split("\n")), ["MIT"]), (APACHE, ["Apache-2.0"]), (GPL, ["GPL-3.0-or-later"]), (GPL.replace("version 3", "version 2").replace(", or\n(at your option) any later version", ""), ["GPL-2.0"]),
+        (MPL, ["MPL-2.0"]), ("// SPDX-License-Identifier: BSD-3-Clause\nint x;", ["BSD-3-Clause"]), ("MIT\nunknown words here", []), ("a line of\nReleased under the MIT License\nand one more", ["MIT"]),
+    ]
+    found = {r.doc_id: r.licenses for r in L.scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert found == {k: licenses for k, (_, licenses) in enumerate(cases)}
