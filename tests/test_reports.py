@@ -4,14 +4,12 @@ import difflib
 import json
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from tamis.functions import code
 from tamis.functions import text as T
 from tamis.operators import code_context, converters, retrieval, similarity
 from tamis.sources import io
-from pyspark.sql import functions as F
 
 
 def test_commit_falls_back_in_order(spark):
