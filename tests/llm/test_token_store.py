@@ -78,5 +78,6 @@ def test_cache_keeps_what_returns():
         new = cache.missing(wanted)
         cache.ids.update((x, x.encode()) for x in new)
     assert "b" in cache.ids
-    cache.ids.update((x, x.encode()) for x in cache.missing({"a", "f"}))
+    new = cache.missing({"a", "f"})
+    cache.ids.update((x, x.encode()) for x in new)
     assert set(cache.ids) == {"", "a", "f"}
