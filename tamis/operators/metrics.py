@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.operators.checkpoint import checkpointed
+
 COUNTS = ("tp", "fp", "fn", "tn")
 
 
@@ -36,14 +38,30 @@ def gate_metrics(df: DataFrame, prediction: Column, label: Column, keys: list[st
     return with_metrics((df.groupBy(*keys) if keys else df).agg(*confusion(prediction, label)), **options)
 
 
-def ranking(df: DataFrame, score: str, label: str) -> DataFrame:
+#: Distinct scores that one ordered window is meant to see, and how many windows there are at most.
+SCORES_PER_RANGE = 100_000
+MOST_RANGES = 1_000
+
+
+def ranking(df: DataFrame, score: str, label: str, per_range: int = SCORES_PER_RANGE) -> DataFrame:
     """Per distinct score, from the highest: positives and negatives at it and up to it, and the totals.
 
-    Rows are summed per score first, so that the ordered window sees distinct scores only."""
+    Rows are summed per score first; distinct scores are then cut into ranges by quantiles, each range is summed in
+    order on its own, and the sums of the ranges above it (a row per range) are added. Null scores come last."""
     by_score = df.groupBy(F.col(score).alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n"))
-    upto = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return by_score.select("score", "p", "n", *(F.sum(c).over(w).alias(a) for a, c, w in (("cum_p", "p", upto), ("cum_n", "n", upto), ("all_p", "p", whole), ("all_n", "n", whole))))
+    by_score = checkpointed(df.sparkSession)(by_score)
+    ranges = min(MOST_RANGES, -(-by_score.count() // per_range))
+    part = F.lit(0)
+    if ranges > 1:
+        cuts = by_score.agg(F.percentile_approx("score", [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+        part = F.when(F.col("score").isNull(), ranges).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("score"))))
+    placed = by_score.withColumn("part", part)
+    sums = placed.groupBy("part").agg(F.sum("p").alias("sum_p"), F.sum("n").alias("sum_n"))
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = sums.select("part", *(F.coalesce(F.sum(f"sum_{c}").over(above), F.lit(0)).alias(f"above_{c}") for c in "pn"), *(F.sum(f"sum_{c}").over(whole).alias(f"all_{c}") for c in "pn"))
+    upto = Window.partitionBy("part").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.join(F.broadcast(sums), "part").select("score", "p", "n", *((F.sum(c).over(upto) + F.col(f"above_{c}")).alias(f"cum_{c}") for c in "pn"), "all_p", "all_n")
 
 
 def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:

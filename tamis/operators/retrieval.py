@@ -2,28 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.functions.text import cosine
+from tamis.operators.checkpoint import checkpointed
+
+#: Bytes of query vectors that are sent to the executors at a time, and queries that meet a batch of rows at a time.
+QUERY_BYTES = 32_000_000
+QUERY_TILE = 256
+
+
+def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
+    """One unit row per vector, padded with zeros; a zero vector stays zero."""
+    out = np.zeros((len(vectors), width))
+    for row, v in zip(out, vectors, strict=True):
+        row[: len(v)] = v
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def _nearest(store: DataFrame, asked: list, width: int, k: int, schema: str) -> DataFrame:
+    """Per task, the k nearest rows of each asked query; ties go to the lesser id."""
+    sent = store.sparkSession.sparkContext.broadcast(([r.id for r in asked], _matrix(pd.Series([r.v for r in asked]), width)))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, queries = sent.value
+        best: list[list[tuple]] = [[] for _ in names]  # (-similarity, id), the nearest first
+        for batch in batches:
+            batch = batch.sort_values("id", kind="stable")
+            ids, rows = batch["id"].tolist(), _matrix(batch["v"], width).T
+            for at in range(0, len(names), QUERY_TILE):
+                far = -np.round(queries[at : at + QUERY_TILE] @ rows, 6)
+                for q, near in enumerate(np.argsort(far, axis=1, kind="stable")[:, :k], at):
+                    best[q] = sorted(best[q] + [(far[q - at, j], ids[j]) for j in near])[:k]
+        found = [(n, i, 0.0 - far) for n, b in zip(names, best, strict=True) for far, i in b]
+        yield pd.DataFrame(found, columns=["query_id", "id", "similarity"])
 
-#: Queries whose vectors go into one literal plan.
-QUERY_BLOCK = 64
+    return store.mapInPandas(search, schema)
 
 
 def vector_topk(store: DataFrame, queries: DataFrame, k: int = 2, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, similarity): the k nearest of every query (id, vector). Queries are read in blocks; each
-    block meets every stored row once, and each task keeps its k best per query before the shuffle."""
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("q")).orderBy("query_id").collect()  # a stated query set
-    nothing = store.select(F.col(id_col).alias("id"), F.col(id_col).alias("query_id"), F.lit(0.0).alias("similarity")).limit(0)
-    parts = [] if asked else [nothing]
-    for at in range(0, len(asked), QUERY_BLOCK):
-        literal = F.array(*(F.struct(F.lit(r.query_id).alias("query_id"), F.array(*(F.lit(float(x)) for x in r.q)).alias("q")) for r in asked[at : at + QUERY_BLOCK]))
-        rows = store.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.explode(literal).alias("a")).select("id", F.col("a.query_id").alias("query_id"), F.round(cosine(F.col("v"), F.col("a.q")), 6).alias("similarity"))
-        parts.append(rows)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    """(query_id, rank, id, similarity): the k nearest of every query (id, vector) by cosine to six decimals, ties by id.
+    A zero vector has similarity 0 to all. Rows without id, vector or one of its numbers are neither asked nor found.
+
+    Each group of about QUERY_BYTES of queries meets every stored row once, as products of matrices, and each task sends
+    its k nearest per query on. Further groups are searched one after another, so that driver and executors hold one."""
+    spark = store.sparkSession
+    whole = lambda df: df.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    asked, rows = whole(queries), whole(store)
+    kinds = [df.schema["id"].dataType.simpleString() for df in (asked, rows)]
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, similarity double"
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    width = max(width or 0, rows.agg(F.max(F.size("v"))).first()[0] or 0)
+    groups = max(1, -(-n * width * 8 // QUERY_BYTES))
+    of = F.pmod(F.xxhash64("id"), F.lit(groups))
+    keep = checkpointed(spark) if groups > 1 else lambda df: df
+    found = [keep(_nearest(rows, asked.filter(of == g).collect(), width, k, schema)) for g in range(groups)]
+    every = reduce(DataFrame.unionByName, found)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
     return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
 

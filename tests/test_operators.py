@@ -69,6 +69,21 @@ def test_ranking_scores_count_ties_half(spark):
     assert metrics.ranking_scores(rows.limit(0), "s", "y").first()[:] == (None, None)
 
 
+def test_ranking_in_ranges_is_one_running_sum(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, float("nan"), *(x / 40 for x in range(40))]), rng.randrange(2)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "s double, y int")
+    key = lambda s: (s is not None, s != s, s if s is not None and s == s else 0.0)
+    expected, cum = [], [0, 0]
+    for k in sorted({key(s) for s, _ in rows}, reverse=True):
+        at = [sum(key(s) == k and y == v for s, y in rows) for v in (1, 0)]
+        cum = [a + b for a, b in zip(cum, at, strict=True)]
+        expected.append((k, *at, *cum, sum(y for _, y in rows), sum(1 - y for _, y in rows)))
+    for per_range in (5, 1000):
+        found = [(key(r.score), *r[1:]) for r in metrics.ranking(df, "s", "y", per_range).collect()]
+        assert sorted(found, reverse=True) == expected
+
+
 def test_grid(spark):
     rows = spark.createDataFrame([(1.0, 0.9, 1), (0.0, 0.1, 0), (0.7, 0.8, 1), (0.0, 0.2, 0)], "sev double, slm double, y int")
     points = [(w, 1 - w, t) for w in (0.0, 0.5, 1.0) for t in (0.3, 0.7)]
@@ -164,5 +179,27 @@ def test_vectors(spark):
     asked = spark.createDataFrame([(7, [0.85, 0.15])], "vec_id int, embedding array<float>")
     found = retrieval.vector_topk(rows, asked, 3).orderBy("rank").collect()
     assert [r.id for r in found] == [0, 1, 2] and found[2].similarity == 0.0
+    assert retrieval.vector_topk(rows, asked.limit(0), 3).collect() == []
     store, new = (spark.createDataFrame(x, "file_hash string, name string") for x in ([("h1", "a")], [("h1", "a"), ("h1", "b"), ("h2", "c"), ("h2", "c")]))
     assert retrieval.new_rows(store, new, ["file_hash", "name"]).count() == 2
+
+
+@pytest.mark.parametrize("budget", [retrieval.QUERY_BYTES, 400])
+def test_vector_topk_matches_all_pairs(spark, monkeypatch, budget):
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", budget)
+    rng = random.Random(3)
+    base = [[float(rng.randrange(-3, 4)) for _ in range(5)] for _ in range(20)]
+    rows = [(f"v{k}", list(rng.choice(base))) for k in range(90)] + [("short", [1.0, 2.0]), ("none", None), ("hole", [1.0, None]), (None, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>").repartition(3)
+    good = [(i, v) for i, v in rows if i and v and None not in v]
+
+    def cosine(a, b):
+        norms = [sum(x * x for x in v) ** 0.5 for v in (a, b)]
+        return round(sum(x * y for x, y in zip(a, b, strict=False)) / (norms[0] * norms[1]), 6) if all(norms) else 0.0
+
+    expected = set()
+    for q, v in good[::9]:
+        near = sorted((-cosine(v, w), i) for i, w in good)[:4]
+        expected |= {(q, r, i, round(0.0 - s, 6)) for r, (s, i) in enumerate(near, 1)}
+    found = retrieval.vector_topk(df, df.join(spark.createDataFrame([(q,) for q, _ in good[::9]], "vec_id string"), "vec_id"), 4).collect()
+    assert {(r.query_id, r.rank, r.id, round(r.similarity, 6)) for r in found} == expected
