@@ -11,8 +11,8 @@ Defined results: a null url, or one without "://", has empty host and path. No r
 url: the one with the longer host. Repeated rows stay repeated. Rules with a null host or path are left out. Columns
 other than the two named are not read.
 
-Hot hosts: the sweep runs per (host, salt) with as many salts as the number of rows asks for; only rule events are
-repeated for each salt.
+Only urls below a rule's host are swept; the others meet no sort. Hot hosts: the sweep runs per (host, salt), with a
+salt for every `rows_per_salt` urls below that host, so that the events of its rules, and of no other, are repeated.
 """
 
 from __future__ import annotations
@@ -20,8 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.llm.common import materialize
+
 #: Rows that one sweep task is meant to sort.
 ROWS_PER_SALT = 1_000_000
+#: Rule hosts up to which they are sent to every executor.
+BROADCAST_HOSTS = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,23 +66,35 @@ def rule_events(rules: DataFrame) -> DataFrame:
     return opening.unionByName(closing)
 
 
+def rule_hosts(urls: DataFrame, rules: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """(host, salts) of the hosts of `rules`; a column `hosts` of `urls` holds the suffixes that each row stands under."""
+    hosts = rules.filter(F.col("host").isNotNull() & F.col("path").isNotNull()).select(F.translate("host", _UPPER, _LOWER).alias("host")).distinct()
+    known = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
+    below = urls.select(F.explode("hosts").alias("host")).join(known, "host", "left_semi").groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    return below.select("host", F.ceil(F.col("n") / rows_per_salt).cast("int").alias("salts"))
+
+
 def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """One row per row of `urls`: id, url, host, path, rule, verdict."""
-    distinct = urls.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).groupBy("id", "url").agg(F.count(F.lit(1)).alias("copies"))
-    distinct = distinct.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
     levels = rules.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 1
-    salts = max(8, -(-urls.count() // rows_per_salt))
-
-    events = rule_events(rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(
+    plain = urls.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
+    hosts = rule_hosts(plain.select(_suffixes(url_host(F.col("url")), levels).alias("hosts")), rules, rows_per_salt)
+    hosts = materialize(hosts, "hosts")
+    hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
+    distinct = plain.groupBy("id", "url").agg(F.count(F.lit(1)).alias("copies"))
+    distinct = distinct.withColumn("full_host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
+
+    events = rule_events(rules).join(hosts, "host").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
         "host", "salt", "key", "kind", "top", *(F.lit(None).cast(t).alias(c) for c, t in (("id", distinct.schema["id"].dataType), ("url", "string"), ("copies", "long"), ("full_host", "string"), ("path", "string")))
     )
-    probes = distinct.select(
-        F.explode(_suffixes(F.col("host"), levels)).alias("host"), F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int").alias("salt"),
-        F.encode("path", "UTF-8").alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(events.schema["top"].dataType).alias("top"), "id", "url", "copies", F.col("host").alias("full_host"), "path",
+    no_top = F.lit(None).cast(events.schema["top"].dataType).alias("top")
+    probes = distinct.withColumn("host", F.explode(_suffixes(F.col("full_host"), levels))).join(hosts, "host").select(
+        "host", F.pmod(F.xxhash64("id", "url"), F.col("salts")).cast("int").alias("salt"), F.encode("path", "UTF-8").alias("key"), F.lit(1).alias("kind"), no_top, "id", "url", "copies", "full_host", "path",
     )
     sweep = Window.partitionBy("host", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
     swept = events.unionByName(probes).withColumn("top", F.last("top", ignorenulls=True).over(sweep)).filter(F.col("kind") == 1)
-    best = swept.groupBy("id", "url", "copies", "full_host", "path").agg(
+    row = ["id", "url", "copies", "full_host", "path"]
+    best = swept.select(*row, "top").unionByName(distinct.select(*row, no_top)).groupBy(*row).agg(
         F.max(F.when(F.col("top.rule").isNotNull(), F.struct("top.len", "top.host_len", "top.rule", "top.verdict"))).alias("best")
     )
     return best.select(

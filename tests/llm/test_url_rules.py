@@ -20,8 +20,9 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("rows_per_salt", [U.ROWS_PER_SALT, 10])
-def test_matches_brute_force(spark, rows_per_salt):
+@pytest.mark.parametrize(("rows_per_salt", "broadcast"), [(U.ROWS_PER_SALT, U.BROADCAST_HOSTS), (10, 0)])
+def test_matches_brute_force(spark, monkeypatch, rows_per_salt, broadcast):
+    monkeypatch.setattr(U, "BROADCAST_HOSTS", broadcast)
     rng = random.Random(2)
     rules = {("com", "/en/"): "block", ("example.com", "/en/7"): "allow", ("net", "/de/"): "allow", ("example.net", "/de/8"): "block", ("org", "/es/"): "block", ("example.com", ""): "block", ("a.com", "/p/q/r"): "allow", ("a.com", "/p/q"): "block", ("a.com", "/p"): "allow"}
     hosts, paths = ["a.com", "x.a.com", "example.com", "b.net", "com"], ["/p", "/p/q/", "/p/q/r/s", "/pq", "/en/7/", "/e", ""]
@@ -39,3 +40,9 @@ def test_empty_tables(spark):
     assert U.judge_urls(pages, rules).collect() == []
     one = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     assert [(r.rule, r.verdict) for r in U.judge_urls(one, rules, default="block").collect()] == [(None, "block")]
+
+
+def test_only_hot_hosts_are_salted(spark):
+    urls = spark.createDataFrame([(["com", "a.com"],)] * 25 + [(["org", "b.org"],)] * 3, "hosts array<string>")
+    rules = spark.createDataFrame([("COM", "/", "block"), ("b.org", "/", "block"), ("net", "/", "block")], "host string, path string, verdict string")
+    assert {r.host: r.salts for r in U.rule_hosts(urls, rules, 10).collect()} == {"com": 3, "b.org": 1}
