@@ -21,6 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -29,7 +31,7 @@ from tamis.llm.common import shuffle_partitions
 
 #: A block closes with the document that reaches either number.
 BLOCK_IDS, BLOCK_DOCS = 1 << 20, 1 << 13
-#: Chunks of text whose ids a worker keeps, and pieces of such.
+#: Chunks of text, or pieces of such, whose ids a worker keeps.
 CACHE_CHUNKS = 250_000
 SELECT_EVERY = 64
 
@@ -97,41 +99,50 @@ class EliasFano:
 
 # The pre-tokenizer pattern for which a word and the marks behind it are pieces of their own.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Letters that lower-case alike everywhere, then ASCII marks without the apostrophe.
-_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+#: Letters that lower-case alike everywhere, and ASCII marks without the apostrophe.
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]+"
+_WORD, _WORD_AND_MARKS = f"^{_LETTERS}({_MARKS})?$", f"^({_LETTERS})({_MARKS})$"
+_PIECE = re.compile(f"(?:{_LETTERS}|{_MARKS})\\Z")
+
+
+def _gather(ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of `ids` that start at `begin` and have `size` items, one after another."""
+    shift = begin - (np.cumsum(size) - size)
+    return ids[np.repeat(shift, size) + np.arange(size.sum())]
 
 
 class _Cache:
-    """Ids by text. Beyond `most` entries only those that came again stay."""
+    """Ids by text, about `most` of them: once half as many are new, those of the half before that were not asked for go."""
 
     def __init__(self, most: int):
-        self.most, self.again = most, set()
-        self.ids: dict[str, bytes] = {"": b""}
+        self.most = most
+        self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def missing(self, wanted: set[str]) -> list[str]:
-        """Which of `wanted` are to be added; the others will be there."""
-        if len(self.ids) > self.most:
-            stay = self.again if len(self.again) < self.most // 2 else wanted & self.again
-            self.ids = {x: self.ids[x] for x in stay} | {"": b""}
-            self.again = set()
-        new = wanted.difference(self.ids)
-        self.again |= wanted - new
-        return list(new)
+        """Which of `wanted` are to be added to `ids`; the others will be there."""
+        if len(self.ids) > self.most // 2:
+            self.old, self.ids = self.ids, {}
+        absent = wanted.difference(self.ids)
+        back = absent.intersection(self.old)
+        self.ids.update((x, self.old[x]) for x in back)
+        return list(absent - back)
 
 
 class ChunkEncoder:
     """Ids of whole texts, by a cache of the ids of their chunks between blanks and line feeds.
 
     Only for tokenizers that never join text across white space; `encode` gives what the tokenizer gives for the text.
-    Where the tokenizer lower-cases, splits words from marks and ends each piece with a token of its own kind, new
-    chunks are taken apart into pieces, and many new pieces are encoded as one text."""
+    Where the tokenizer lower-cases, splits words from marks and ends each piece with a token of its own kind, chunks
+    are taken apart into pieces, the cache holds pieces, and many new ones are encoded as one text. Chunks and pieces
+    are found by Arrow: only the distinct ones of a call become Python strings."""
 
     def __init__(self, file: str, end_id: int, cache_chunks: int = CACHE_CHUNKS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(file), np.array([end_id], "<u4").tobytes()
-        self.cache, self.pieces = _Cache(cache_chunks), _Cache(cache_chunks)
+        self.cache = _Cache(cache_chunks)
         spec = json.loads(self.tokenizer.to_str())
         suffix = spec["model"].get("end_of_word_suffix")
         self.by_piece = bool(suffix) and _PIECES in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\") and '"Lowercase"' in json.dumps(spec["normalizer"])
@@ -149,36 +160,47 @@ class ChunkEncoder:
             ids = np.frombuffer(found, "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(ends) == len(group) and ends[-1] == len(found):
-                self.pieces.ids.update(zip(group, (found[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+                self.cache.ids.update(zip(group, (found[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
             else:
-                self.pieces.ids.update(zip(group, self._encode_all(group), strict=True))
+                self.cache.ids.update(zip(group, self._encode_all(group), strict=True))
 
-    def _add_chunks(self, new: list[str]) -> None:
-        whole = new
-        if self.by_piece:
-            whole, apart, words, marks = [], [], [], []
-            match = _WORD_AND_MARKS.match
-            for c in new:
-                if m := match(c):
-                    word, mark = m.groups()
-                    apart.append(c)
-                    words.append(word.lower())
-                    marks.append(mark)
-                else:
-                    whole.append(c)
-            self._add_pieces(self.pieces.missing({*words, *marks}))
-            get = self.pieces.ids.__getitem__
-            self.cache.ids.update(zip(apart, map(bytes.__add__, map(get, words), map(get, marks)), strict=True))
-        self.cache.ids.update(zip(whole, self._encode_all(whole), strict=True))
+    def _ids(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct strings, one after another, and how many each has."""
+        names = names.to_numpy(zero_copy_only=False).tolist()
+        new = self.cache.missing(set(names))
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            pieces = [x for x in some if _PIECE.match(x)] if self.by_piece else []
+            self._add_pieces(pieces)
+            rest = list(set(some).difference(pieces))
+            self.cache.ids.update(zip(rest, self._encode_all(rest), strict=True))
+        found = list(map(self.cache.ids.__getitem__, names))
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_piece:
+            return self._ids(chunks)
+        chunks = pc.if_else(pc.match_substring_regex(chunks, _WORD), pc.utf8_lower(chunks), chunks)
+        apart = pc.split_pattern(pc.replace_substring_regex(chunks, _WORD_AND_MARKS, r"\1 \2"), " ")
+        pieces = apart.flatten().dictionary_encode()
+        ids, size = self._ids(pieces.dictionary)
+        codes = pieces.indices.to_numpy()
+        each = size[codes]
+        ends = np.concatenate([[0], np.cumsum(each)])[apart.offsets.to_numpy()]
+        return _gather(ids, (np.cumsum(size) - size)[codes], each), np.diff(ends)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = self.cache.missing(set().union(*split))
-        for at in range(0, len(new), 20_000):
-            self._add_chunks(new[at : at + 20_000])
-        get = self.cache.ids.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in split]
+        if not texts:
+            return []
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        chunks = split.flatten().dictionary_encode()
+        ids, size = self._chunk_ids(chunks.dictionary)
+        codes = chunks.indices.to_numpy()
+        each = size[codes]
+        every = _gather(ids, (np.cumsum(size) - size)[codes], each)
+        cuts = np.concatenate([[0], np.cumsum(each)])[split.offsets.to_numpy()]
+        return [every[s:e].tobytes() + self.end for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
@@ -191,7 +213,7 @@ def _encoder(file: str, end_id: int) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
-def _text_slices(texts: list[str], most: int = 1_000_000) -> Iterator[slice]:
+def _text_slices(texts: list[str], most: int = 2_000_000) -> Iterator[slice]:
     """Slices of about `most` characters, so that a batch's working memory stays bounded."""
     start, size = 0, 0
     for i, t in enumerate(texts):

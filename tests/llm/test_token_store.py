@@ -74,10 +74,14 @@ def test_string_ids_are_refused(spark, tmp_path):
 
 def test_cache_keeps_what_returns():
     cache = T._Cache(4)
-    for wanted in ({"a", "b"}, {"a", "c"}, {"d", "e"}):
+    for wanted in ({"a", "b", "c"}, {"a", "d"}, {"e", "f"}):
         new = cache.missing(wanted)
         cache.ids.update((x, x.encode()) for x in new)
-    assert "b" in cache.ids
-    new = cache.missing({"a", "f"})
-    cache.ids.update((x, x.encode()) for x in new)
-    assert set(cache.ids) == {"", "a", "f"}
+    assert sorted(cache.ids) == ["a", "d", "e", "f"] and "b" in cache.old
+    assert sorted(cache.missing({"a", "b", "g"})) == ["b", "g"]
+
+
+def test_a_small_cache_encodes_alike():
+    texts = [" ".join(f"w{k * n % 97}!" for k in range(60)) for n in range(1, 40)] + ["", " ", "\n\n", "a  b"]
+    small, large = T.ChunkEncoder(FILE, 2, 10), T.ChunkEncoder(FILE, 2)
+    assert [small.encode([t])[0] for t in texts] == large.encode(texts) and large.encode([]) == []
