@@ -41,11 +41,11 @@ MEMBERS_PER_RUN = 500
 #: Least share of equal slots: six deviations below the similarity.
 LEAST_ESTIMATE = 0.8 - 6 * (0.8 * 0.2 / (BANDS * BAND_ROWS)) ** 0.5
 #: Members and shingles that one comparison run holds, and members that stream past it.
-RUN_HELD, RUN_SHINGLES, RUN_PASSING = 2_000, 2_000_000, 50_000
+RUN_HELD, RUN_SHINGLES, RUN_PASSING = 1_500, 1_500_000, 50_000
 #: Sets of keys of up to this size are sent to every executor instead of shuffling texts.
 BROADCAST_KEYS = 200_000
 #: Text and documents that are hashed at a time.
-BATCH_BYTES, BATCH_DOCS = 2_000_000, 4_000
+BATCH_BYTES, BATCH_DOCS = 1_000_000, 4_000
 #: Keys with more than one in so many rows are hot: there are few, and their rows stay where they are in joins.
 HOT_SHARE = 1_000
 
