@@ -18,7 +18,16 @@ def checkpointed(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
 
     def run(df: DataFrame) -> DataFrame:
         path = f"{base}/loop-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+        out._scratch_path = path
+        return out
 
     return run
+
+
+def discarded(*frames: DataFrame) -> None:
+    """Delete tables of `checkpointed` that nothing will read again."""
+    for df in frames:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)

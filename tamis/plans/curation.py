@@ -136,9 +136,10 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one language and opposite labels whose token similarity is above 0.9."""
+    """Documents of one language and opposite labels whose token similarity is above 0.9: links between the least ids of
+    documents of the same tokens, and the other ones (copies) with their least id."""
     safe, vulnerable = _sides(spark, sf_dir)
-    return similarity.similar_pairs(safe, vulnerable, 0.9, ["lang"]).withColumn("similarity", F.round("similarity", 6))
+    return similarity.similar_classes(safe, vulnerable, 0.9, ["lang"]).withColumn("similarity", F.round("similarity", 6))
 
 
 def near_dup_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
