@@ -46,6 +46,15 @@ def test_shuffled_answers_equal_broadcast_ones(spark, docs, monkeypatch):
     assert sorted(map(tuple, found), key=str) == brute(docs, 40)
 
 
+def test_texts_are_not_shuffled_where_answers_are_many(spark, docs, monkeypatch):
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 2_000)
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    found = S.find_repeats(d, length=40, chunk_bytes=700)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") > 2 and "SortMergeJoin" not in plan
+    assert sorted(map(tuple, S.digest(found).collect()), key=str) == brute(docs, 40)
+
+
 def test_empty_table_and_short_length(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.find_repeats(empty).collect() == []
