@@ -8,7 +8,8 @@ probability of their weighted Jaccard similarity, whatever their sizes, and a pr
 passes the document's latest slot. Slots are cut into bands; texts that agree in a band are candidates.
 
 Texts of the same words are one node, so copies never multiply. Links of similarity >= 0.8 are verified on the
-multisets themselves, and connected components are taken by alternating stars. In every bucket the member that agrees
+multisets themselves, and connected components are taken by alternating stars, or on the driver where the links are
+few (FEW_LINKS). In every bucket the member that agrees
 most with others is the centre, and each other member is verified against it, a pair at most once whatever the number
 of shared buckets. Only buckets whose other members are then of several components need more work, one bucket for all
 that hold the same members: members outside the largest component are held in runs of bounded size while all stream
@@ -27,6 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +47,8 @@ LEAST_ESTIMATE = 0.8 - 6 * (0.8 * 0.2 / (BANDS * BAND_ROWS)) ** 0.5
 RUN_HELD, RUN_SHINGLES, RUN_PASSING = 1_500, 1_500_000, 50_000
 #: Sets of keys of up to this size are sent to every executor instead of shuffling texts.
 BROADCAST_KEYS = 200_000
+#: Up to so many links (8 MB of keys) are joined to components on the driver; alternating stars take any number.
+FEW_LINKS = 250_000
 #: Text and documents that are hashed at a time.
 BATCH_BYTES, BATCH_DOCS = 1_000_000, 4_000
 #: Keys with more than one in so many rows are hot: there are few, and their rows stay where they are in joins.
@@ -249,12 +254,45 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFra
     return apart.filter("_hot").select(*columns).unionByName(cold.select(*columns))
 
 
+def least_of_component(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The least node of the connected component of each of n nodes, for links u > v: trees are hooked to the least
+    neighbouring root and flattened, until every link is inside one tree."""
+    top = np.arange(n)
+    while len(u):
+        np.minimum.at(top, np.maximum(u, v), np.minimum(u, v))
+        while ((up := top[top]) != top).any():
+            top = up
+        u, v = top[u], top[v]
+        u, v = u[u != v], v[u != v]
+    return top
+
+
+def _few_components(edges: DataFrame) -> DataFrame:
+    """(key, comp) of a bounded number of edges (u, v), on the driver."""
+    got = edges.toArrow()
+    ends = pa.concat_arrays([c.cast(pa.binary()) for name in ("u", "v") for c in got[name].chunks])
+    coded = ends.dictionary_encode()
+    names = coded.dictionary
+    order = pc.sort_indices(names).to_numpy()  # bytes in order, as in Spark
+    rank = np.empty(len(names), dtype=np.int64)
+    rank[order] = np.arange(len(names))
+    node = rank[coded.indices.to_numpy()]
+    top = least_of_component(*np.split(node, 2), len(names))
+    names = names.take(pa.array(order))
+    return edges.sparkSession.createDataFrame(pa.table({"key": names, "comp": names.take(pa.array(top))}))
+
+
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """(key, comp): the least key of the connected component of every key in `links`, by alternating large and small
-    stars, as a table. A hub's rows are pre-aggregated and stay where they are."""
+    """(key, comp): the least key of the connected component of every key in `links`, as a table. Up to FEW_LINKS links
+    are joined on the driver, more by alternating large and small stars; a hub's rows are pre-aggregated and stay where
+    they are."""
     flat = links.filter(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).distinct()
     edges = materialize(flat, "links")
     seen = state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    if 0 < state[0] <= FEW_LINKS:
+        out = materialize(_few_components(edges), "components")
+        discard(edges)
+        return out
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")

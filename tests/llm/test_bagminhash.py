@@ -97,3 +97,39 @@ def test_shingles_of_short_and_empty_texts():
     hashes, at = B.shingle_hashes([b"", b"a", b"a b c d e", b"a b c d e f", b""])
     assert np.bincount(at, minlength=5).tolist() == [0, 1, 1, 2, 0]
     assert hashes[1] == hashes[2]
+
+
+def random_links(rng, n, m):
+    key = lambda k: B.xxhash.xxh3_128_digest(str(k).encode())
+    return [(key(rng.randrange(n)), key(rng.randrange(n))) for _ in range(m)] + [(key(-k), key(-k - 1)) for k in range(1, 40)] + [(key("hub"), key(f"leaf{k}")) for k in range(50)]
+
+
+def test_few_links_take_no_rounds_and_give_the_components_of_many(spark, monkeypatch):
+    links = random_links(random.Random(11), 300, 160)
+    top = {x: x for link in links for x in link}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        top[max(x, y)] = min(x, y)
+    expected = {x: find(x) for a, b in links if a != b for x in (a, b)}
+    written, write = [], B.materialize
+    monkeypatch.setattr(B, "materialize", lambda df, name: written.append(name) or write(df, name))
+    df = spark.createDataFrame(links, "a binary, b binary")
+
+    def found():
+        return {bytes(r.key): bytes(r.comp) for r in B.components(df).collect()}
+
+    assert found() == expected and written == ["links", "components"]
+    monkeypatch.setattr(B, "FEW_LINKS", 0)
+    assert found() == expected and len(written) > 4
+
+
+def test_classes_by_rounds_match_brute_force(spark, corpus, monkeypatch):
+    monkeypatch.setattr(B, "FEW_LINKS", 0)
+    found = B.classes(spark.createDataFrame(corpus, "doc_id long, text string")).collect()
+    assert {r.id: r.class_id for r in found} == brute_classes(corpus)
