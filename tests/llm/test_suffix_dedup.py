@@ -4,6 +4,7 @@ import random
 import pytest
 
 from tamis.llm import suffix_dedup as S
+from tamis.llm.queries import queries
 
 
 def brute(docs, length):
@@ -55,6 +56,18 @@ def test_texts_are_not_shuffled_where_answers_are_many(spark, docs, monkeypatch)
     assert sorted(map(tuple, S.digest(found).collect()), key=str) == brute(docs, 40)
 
 
+def test_query_catches_passages_of_400_bytes_and_keeps_shorter_ones(spark, tmp_path):
+    rng = random.Random(5)
+    words = lambda n, size: " ".join("".join(rng.choice("abcdefghij") for _ in range(size)) for _ in range(n))
+    passages = {"caught": words(55, 7), "short": words(55, 5)}  # 439 and 329 bytes
+    rows = [(k, kind, " ".join([words(rng.randint(20, 90), 6), passages.get(kind, words(55, 7)), words(40, 6)])) for k, kind in enumerate(["caught", "short", "clean"] * 5)]
+    spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries()["op3_suffix_dedup"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found), key=str) == brute([(k, t) for k, _, t in rows], 400)
+    kinds = {k: kind for k, kind, _ in rows}
+    assert {r.doc_id for r in found if r.n_removed} == {k for k in kinds if kinds[k] == "caught"}
+
+
 def test_empty_table_and_short_length(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.find_repeats(empty).collect() == []
